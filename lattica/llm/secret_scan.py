@@ -57,39 +57,65 @@ def _sum(a: Column, f) -> Column:
     return F.aggregate(F.transform(a, f), F.lit(0.0), lambda s, x: s + x)
 
 
-def _measured(run: Column) -> Column:
-    """The run with its alphabet's size, letter codes and length, without padding."""
+def _keep(x: Column, *names: str) -> list[Column]:
+    return [x[n].alias(n) for n in ("start", "end", "text", *names)]
+
+
+# A run is measured in steps, each over what the step before has worked out, so no sum is ever inside another.
+
+
+def _coded(run: Column) -> Column:
+    """The run without padding, its length, its letters' codes and its alphabet's size."""
     body = F.regexp_replace(run["text"], "=+$", "")
     alphabet = F.coalesce(*[F.when(body.rlike(f"^{fit}$"), F.lit(a)) for fit, a in ALPHABETS])
-    codes = F.transform(F.split(body, ""), lambda c: F.instr(alphabet, c).cast("double"))
     single_case = ~(body.rlike("[a-z]") & body.rlike("[A-Z]"))
-    return F.struct(run["start"].alias("start"), run["end"].alias("end"), run["text"].alias("text"), F.length(alphabet).cast("double").alias("size"), codes.alias("codes"), F.length(body).cast("double").alias("n"), F.when(single_case, F.lower(body)).otherwise(body).alias("body"))
+    return F.struct(*_keep(run), F.length(body).cast("double").alias("n"), F.split(body, "").alias("letters"), F.split(F.when(single_case, F.lower(body)).otherwise(body), "").alias("folded"), alphabet.alias("alphabet"), F.length(alphabet).cast("double").alias("size"))
 
 
-def _tested(x: Column) -> Column:
-    n, size, codes = x["n"], x["size"], x["codes"]
-    squares = _sum(F.array_distinct(codes), lambda c: F.pow(F.size(F.filter(codes, lambda d: d == c)).cast("double"), F.lit(2.0)))
-    df = size - 1
-    chi = size / n * squares - n
-    z_chi = (F.pow(chi / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
+def _numbered(x: Column) -> Column:
+    alphabet = x["alphabet"]
+    codes = F.transform(x["letters"], lambda c: F.instr(alphabet, c).cast("double"))
+    each = F.transform(F.split(alphabet, ""), lambda c: F.size(F.filter(x["letters"], lambda d: d == c)).cast("double"))
+    return F.struct(*_keep(x, "n", "size", "folded"), codes.alias("codes"), each.alias("counts"))
+
+
+def _shifted(a: Column) -> tuple[Column, Column]:
+    return F.slice(a, 2, F.size(a)), F.slice(a, 1, F.size(a) - 1)
+
+
+def _summed(x: Column) -> Column:
+    size, codes = x["size"], x["codes"]
     high = F.transform(codes, lambda c: F.when(c > size / 2, 1.0).otherwise(0.0))
-    n1 = _sum(high, lambda h: h)
-    n2 = n - n1
-    runs = 1 + _sum(F.zip_with(F.slice(high, 2, F.size(high)), F.slice(high, 1, F.size(high) - 1), lambda a, b: F.abs(a - b)), lambda d: d)
-    mean = 2 * n1 * n2 / n + 1
-    z_runs = F.when((n1 == 0) | (n2 == 0), F.lit(9.0)).otherwise((runs - mean) / F.sqrt(F.greatest((mean - 1) * (mean - 2) / (n - 1), F.lit(1e-9))))
-    middle = _sum(codes, lambda c: c) / n
-    spread = _sum(codes, lambda c: (c - middle) * (c - middle))
-    lag = _sum(F.zip_with(F.slice(codes, 2, F.size(codes)), F.slice(codes, 1, F.size(codes) - 1), lambda a, b: (a - middle) * (b - middle)), lambda d: d)
-    z_serial = F.when(spread == 0, F.lit(9.0)).otherwise((lag / spread + 1 / n) * F.sqrt(n))
-    p_random = F.least(F.lit(1.0), 3 * F.least(_tail(z_chi), 2 * _tail(F.abs(z_runs)), 2 * _tail(F.abs(z_serial))))
+    turns = F.zip_with(*_shifted(codes), lambda a, b: F.when((a > size / 2) != (b > size / 2), 1.0).otherwise(0.0))
+    products = F.zip_with(*_shifted(codes), lambda a, b: a * b)
+    sums = {"squares": _sum(x["counts"], lambda o: o * o), "high": _sum(high, lambda h: h), "turns": _sum(turns, lambda d: d), "total": _sum(codes, lambda c: c), "power": _sum(codes, lambda c: c * c), "lagged": _sum(products, lambda d: d)}
+    ratio = _sum(x["folded"], lambda c: -F.log(size * _share(c, size)))
+    return F.struct(*_keep(x, "n", "size"), *[v.alias(k) for k, v in sums.items()], ratio.alias("ratio"), F.get(codes, F.lit(0)).alias("first"), F.element_at(codes, -1).alias("last"))
+
+
+def _share(c: Column, size: Column) -> Column:
+    letters = F.when(c.rlike(f"[{COMMON[0]}]"), COMMON[1]).when(c.rlike(f"[{MIDDLE[0]}]"), MIDDLE[1]).when(c.rlike(f"[{RARE[0]}]"), RARE[1])
+    return letters.when(c.rlike("[0-9]"), F.when(size == 10, 0.1).otherwise(DIGIT)).when(c.rlike("[A-Z]"), UPPER).otherwise(SIGN)
+
+
+def _scored(x: Column) -> Column:
+    n, df = x["n"], x["size"] - 1
+    chi = x["size"] / n * x["squares"] - n
+    z_chi = (F.pow(chi / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
+    low = n - x["high"]
+    mean = 2 * x["high"] * low / n + 1
+    z_runs = F.when((x["high"] == 0) | (low == 0), F.lit(9.0)).otherwise((x["turns"] + 1 - mean) / F.sqrt(F.greatest((mean - 1) * (mean - 2) / (n - 1), F.lit(1e-9))))
+    middle = x["total"] / n
+    spread = x["power"] - n * middle * middle
+    # the lagged products less the middle, each sum lacking one end
+    lag = x["lagged"] - middle * (2 * x["total"] - x["first"] - x["last"]) + (n - 1) * middle * middle
+    z_serial = F.when(spread <= 1e-9, F.lit(9.0)).otherwise((lag / spread + 1 / n) * F.sqrt(n))
+    return F.struct(*_keep(x, "n", "ratio"), z_chi.alias("z_chi"), z_runs.alias("z_runs"), z_serial.alias("z_serial"))
 
-    def share(c: Column) -> Column:
-        letters = F.when(c.rlike(f"[{COMMON[0]}]"), COMMON[1]).when(c.rlike(f"[{MIDDLE[0]}]"), MIDDLE[1]).when(c.rlike(f"[{RARE[0]}]"), RARE[1])
-        return letters.when(c.rlike("[0-9]"), F.when(size == 10, 0.1).otherwise(DIGIT)).when(c.rlike("[A-Z]"), UPPER).otherwise(SIGN)
 
-    ratio = _sum(F.split(x["body"], ""), lambda c: -F.log(size * share(c)))
-    return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["text"].alias("text"), n.alias("n"), p_random.alias("p_random"), F.exp(-F.greatest(ratio, F.lit(0.0))).alias("p_text"))
+def _judged(x: Column) -> Column:
+    p_random = F.least(F.lit(1.0), 3 * F.least(_tail(x["z_chi"]), 2 * _tail(F.abs(x["z_runs"])), 2 * _tail(F.abs(x["z_serial"]))))
+    return F.struct(*_keep(x, "n"), p_random.alias("p_random"), F.exp(-F.greatest(x["ratio"], F.lit(0.0))).alias("p_text"))
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:
@@ -104,8 +130,9 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     })
     out = out.withColumn("base", spans.labelled([(k, F.col(k)) for k in BASE_KINDS]))
     free = F.filter("runs", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    out = out.withColumn("runs", F.transform(free, _measured))
-    out = out.withColumn("runs", F.transform("runs", _tested))
+    out = out.withColumn("runs", free)
+    for step in (_coded, _numbered, _summed, _scored, _judged):
+        out = out.withColumn("runs", F.transform("runs", step))
     out = out.withColumn("mean", _sum(F.col("runs"), lambda x: x["n"]) / F.greatest(F.size("runs"), F.lit(1)))
     ranked = F.array_sort(F.transform(F.filter("runs", lambda x: x["p_random"] >= REJECT_RANDOM), lambda x: F.struct((x["p_text"] * F.col("mean") / x["n"]).alias("p"), x["start"].alias("start"), x["end"].alias("end"), x["text"].alias("text"))))
     out = out.withColumn("ranked", ranked)
