@@ -24,6 +24,10 @@ _PIECES = {
 }
 #: Chunks with such characters (combining marks, separators that libraries class differently, special tokens) go to the library whole.
 _PLAIN = re.compile("[\t\n\r\x20-\x7e¡-ÿ]*")
+_PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+#: The byte-level alphabet: a printed byte stands for itself, the others for the characters from U+0100 on.
+_BYTES = {b: chr(0x100 + i) for i, b in enumerate(b for b in range(0x100) if b not in set(_PRINTED))}
+_LETTERS = re.compile("[\x20-\x7e]*")
 _ODD_SPACE = re.compile(rb" [\x00-\x20\xc2\xe1-\xe3]| $")
 _CUT = re.compile(rb" (?=[^\x00-\x20\xc2\xe1-\xe3])")
 
@@ -31,36 +35,46 @@ _CUT = re.compile(rb" (?=[^\x00-\x20\xc2\xe1-\xe3])")
 class Encoder:
     """cut: "words" for vocabularies that drop white space, "spaces" for byte-level ones that join a space to the next word, "whole" for any other."""
 
-    def __init__(self, path: str, cut: str, keep_chunks: int = 400_000, keep_pieces: int = 500_000):
+    def __init__(self, path: str, cut: str, keep_chunks: int = 500_000, keep_pieces: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.model = self.library.model
         self.cut, self.keep_chunks, self.keep_pieces = cut, keep_chunks, keep_pieces
-        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.find, self.lower = getattr(_PIECES.get(cut), "findall", None), cut == "words"
         self._clear()
 
     def _clear(self) -> None:
         self.chunks: tuple[dict[bytes, int], dict[bytes, int]] = ({}, {})
         self.flat, self.ends = array("I"), array("q", [0])
 
-    def _split(self, chunk: str) -> list[str]:
-        if "<|" in chunk or not _PLAIN.fullmatch(chunk):
-            return [chunk]
-        return _PIECES[self.cut].findall(chunk.lower() if self.cut == "words" else chunk)
+    def _piece(self, piece: str) -> bytes:
+        """A pre-token's ids, straight from the library's model."""
+        if _LETTERS.fullmatch(piece):
+            mapped = piece.replace(" ", _BYTES[0x20])
+        else:
+            mapped = piece.encode().decode("latin-1").translate(_BYTES)
+        return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+
+    def _chunk(self, chunk: str) -> None:
+        """Adds a chunk's ids to ``flat``."""
+        if not _PLAIN.fullmatch(chunk) or "<|" in chunk:
+            self.flat.extend(self.library.encode(chunk, add_special_tokens=False).ids)
+            return
+        known, add = self.pieces, self.flat.frombytes
+        for piece in self.find(chunk.lower() if self.lower else chunk):
+            ids = known.get(piece)
+            if ids is None:
+                if len(known) >= self.keep_pieces:
+                    known.clear()
+                ids = known[piece] = self._piece(piece)
+            add(ids)
 
     def _learn(self, missing: list[bytes], known: dict[bytes, int], lead: str) -> None:
-        split = [self._split(lead + m.decode()) for m in missing]
-        new = list(dict.fromkeys(p for s in split for p in s if p not in self.pieces))
-        if len(self.pieces) + len(new) > self.keep_pieces:
-            self.pieces.clear()
-            new = list(dict.fromkeys(p for s in split for p in s))
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            self.pieces.update(zip(part, (tuple(e.ids) for e in self.library.encode_batch_fast(part, add_special_tokens=False)), strict=True))
-        for m, s in zip(missing, split, strict=True):
-            for p in s:
-                self.flat.extend(self.pieces[p])
+        for m in missing:
+            self._chunk(lead + m.decode())
             known[m] = len(self.ends) - 1
             self.ends.append(len(self.flat))
 
@@ -82,7 +96,8 @@ class Encoder:
             self._clear()
         data = text.encode()
         if self.cut == "words":
-            order = self._indexes(data.split(), 0)
+            # the vocabulary is lower-case; special tokens are told apart by case
+            order = self._indexes((data if b"<|" in data else data.lower()).split(), 0)
         else:
             parts = _CUT.split(data) if _ODD_SPACE.search(data) else data.split(b" ")
             lead = parts[0] == b"" and len(parts) > 1
