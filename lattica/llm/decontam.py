@@ -164,6 +164,18 @@ def without_spans(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) ->
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated."""
-    bad = judged(find_contamination(docs, benchmark, width)).filter("contaminated").select("doc_id").distinct()
-    return docs.join(bad.withColumnRenamed("doc_id", "_bad"), docs["doc_id"].eqNullSafe(F.col("_bad")), "left_anti")
+    """The rows of ``docs`` that are not contaminated. With one block of windows each batch is filtered where it is scanned."""
+    blocks = _blocks(benchmark, width)
+    if len(blocks) > 1:
+        bad = judged(find_contamination(docs, benchmark, width)).filter("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
+        return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_bad")), "left_anti")
+    windows = docs.sparkSession.sparkContext.broadcast(Windows(blocks[0]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for _, _, data, offsets in textkit.slices(batch.column("text")):
+                keep += [not hit.any() or 20 * int(hit.sum()) < count for count, hit, _ in windows.value.scan(data, offsets)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
