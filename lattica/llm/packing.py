@@ -52,7 +52,15 @@ def _pieces(batches: Iterator[pa.RecordBatch], vocabulary: str, cut: str, end_id
 
 
 def patterns(counts: list[int], size: int = SIZE) -> list[tuple[int, tuple[int, ...]]]:
-    """(number of sequences, lengths in each) that use up ``counts`` (by length, from 0)."""
+    """(number of sequences, lengths in each) that use up ``counts`` (by length, from 0).
+
+    Solved with complements of up to three, two, one and no lengths, as using up short lengths early can cost more than it saves
+    where there are few; the solution with the fewest sequences is returned.
+    """
+    return min((_solved(counts, size, most) for most in (3, 2, 1, 0)), key=lambda p: sum(times for times, _ in p))
+
+
+def _solved(counts: list[int], size: int, most: int) -> list[tuple[int, tuple[int, ...]]]:
     left = np.array(counts, np.int64)
     left[0] = 0
     out: list[tuple[int, tuple[int, ...]]] = []
@@ -65,37 +73,39 @@ def patterns(counts: list[int], size: int = SIZE) -> list[tuple[int, tuple[int,
                 left[n] -= times
         return times > 0
 
+    def pair(total: int) -> list[int]:
+        """Larger members of the pairs of lengths at hand that sum to total, largest first."""
+        a = np.arange(min(total - 1, size), (total - 1) // 2, -1)
+        return a[(left[a] > 0) & (left[total - a] > 0)].tolist() if len(a) else []
+
     def exact(longest: int) -> bool:
         gap = size - longest
         if gap == 0:
             return take((longest,))
-        if gap <= size and left[gap] and take((longest, gap)):
+        if most >= 1 and left[gap] and take((longest, gap)):
             return True
-        for a in _pair(gap):
-            if take((longest, a, gap - a)):
-                return True
-        for a in range(min(gap - 2, size), (gap - 1) // 3, -1):
-            if left[a]:
-                for b in _pair(gap - a):
-                    if b <= a and take((longest, a, b, gap - a - b)):
-                        return True
+        if most >= 2 and any(take((longest, a, gap - a)) for a in pair(gap)):
+            return True
+        if most >= 3:
+            for a in range(min(gap - 2, size), (gap - 1) // 3, -1):
+                if left[a] and any(b <= a and take((longest, a, b, gap - a - b)) for b in pair(gap - a)):
+                    return True
         return False
 
-    def _pair(total: int) -> list[int]:
-        """Larger members of the pairs of lengths at hand that sum to total, largest first."""
-        a = np.arange(min(total - 1, size), (total - 1) // 2, -1)
-        return a[(left[a] > 0) & (left[total - a] > 0)].tolist() if len(a) else []
-
     stuck: Counter[int] = Counter()
     for longest in range(size, 0, -1):
         while left[longest]:
             if not exact(longest):
                 stuck[longest] = int(left[longest])
                 left[longest] = 0
-    # what no exact complement is left for: best fit, longest first, equal bins together
-    bins: Counter[tuple[int, tuple[int, ...]]] = Counter()  # (room, lengths) -> number
+    # what no exact complement is left for: best fit, longest first, equal sequences together
     rooms = np.zeros(size + 1, np.int64)
     by_room: dict[int, Counter[tuple[int, ...]]] = {}
+
+    def put(room: int, lengths: tuple[int, ...], number: int) -> None:
+        by_room.setdefault(room, Counter())[lengths] += number
+        rooms[room] += number
+
     for length in sorted(stuck, reverse=True):
         need = stuck[length]
         while need:
@@ -104,10 +114,7 @@ def patterns(counts: list[int], size: int = SIZE) -> list[tuple[int, tuple[int,
                 each = size // length
                 for per, number in ((each, need // each), (need % each, 1)):
                     if per and number:
-                        room, lengths = size - per * length, (length,) * per
-                        by_room.setdefault(room, Counter())[lengths] += number
-                        rooms[room] += number
-                need = 0
+                        put(size - per * length, (length,) * per, number)
                 break
             room = length + int(fits[0])
             lengths, number = next(iter(by_room[room].items()))
@@ -116,12 +123,9 @@ def patterns(counts: list[int], size: int = SIZE) -> list[tuple[int, tuple[int,
             if not by_room[room][lengths]:
                 del by_room[room][lengths]
             rooms[room] -= times
-            by_room.setdefault(room - length, Counter())[(*lengths, length)] += times
-            rooms[room - length] += times
+            put(room - length, (*lengths, length), times)
             need -= times
-    del bins
-    out += [(number, lengths) for same in by_room.values() for lengths, number in same.items()]
-    return out
+    return out + [(number, lengths) for same in by_room.values() for lengths, number in same.items()]
 
 
 def places(solution: list[tuple[int, tuple[int, ...]]]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
