@@ -80,7 +80,7 @@ class Model:
 def train(texts: list[str], labels: list[int], seed: int = 5) -> Model:
     y = np.array(labels, np.int64)
     share = float(y.mean()) if len(y) else 0.5
-    if not 0 < share < 1:
+    if not len(y) or not 0 < share < 1:
         return Model(np.zeros(BUCKETS, np.float32), float(np.log((share + 1e-3) / (1 - share + 1e-3))))
     docs = []
     for _, _, data, offsets in textkit.slices(pa.array(texts, pa.string())):
