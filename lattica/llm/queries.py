@@ -6,6 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from . import decontam, edit_fingerprint, packing, pii, quality, secret_scan, spans, token_blocks, url_filter, warc
 from .near_dup import near_duplicates
 from .workspace import Workspace
@@ -72,6 +74,7 @@ QUERIES = {
         op1_near_duplicates, op2_token_blocks, op3_edit_fingerprints, op4_secrets, op5_url_rules, op6_packing, op7_decontamination, op8_quality, op9_personal_data, op10_warc_derivatives,
     )
 }
+QUERIES["pipeline"] = corpus_pipeline.run
 _FITS = " UNION ALL ".join(f"SELECT page_id, host, path, '{h}{p}' AS rule, '{v}' AS verdict FROM u WHERE (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')" for h, p, v in RULES)
 ORACLES = {
     "op5_url_rules": rf"""
@@ -86,3 +89,5 @@ SELECT u.page_id, u.host, u.path, best.rule, coalesce(best.verdict, 'allow') AS
 FROM u LEFT JOIN best ON u.page_id = best.page_id AND k = 1
 """,
 }
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
