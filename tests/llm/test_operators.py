@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -87,8 +88,10 @@ def test_near_duplicates_of_repeated_and_null_ids(spark):
 def test_ids_are_the_librarys(rows, path, cut):
     library, own = Tokenizer.from_file(path), tokens.Encoder(path, cut, keep_chunks=50, keep_pieces=30)
     extra = ["a\n  b", "a \n b", " a", "  a", "a  ", "\n a", "don't 's  'T", "x y  z", "ÀÉ ſİ ΣΑΣ", "½ ²3 4", "<|ENDOFTEXT|> A", "a\t\tb", "    ", "é́ x"]
-    for t in [r[1] or "" for r in rows] + extra:
-        assert own.ids(t).tolist() == library.encode(t, add_special_tokens=False).ids, t[:60]
+    texts = [r[1] or "" for r in rows] + extra
+    for t, many in zip(texts, own.many(pa.array(texts)), strict=True):
+        want = library.encode(t, add_special_tokens=False).ids
+        assert own.ids(t).tolist() == want and many.tolist() == want, t[:60]
 
 
 @pytest.mark.parametrize("ids", [[], [5], [7] * 1000, list(range(600)), [2**32 - 1, 0, 3] * 90, [1] * 255 + [2**31] + [9]])
@@ -283,7 +286,73 @@ def _best_fit(counts, size):
     return len(rooms)
 
 
-@/href", "url": "/u?a&b"}]} and http["Headers"]["Content-Type"] == "text/html; charset=utf-8"
+def test_decontamination(spark, sf_dir, rows):
+    items = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
+    got, hits = by_id(queries.op7_decontamination(spark, sf_dir)), 0
+    for i, t, *_ in rows:
+        n, h, found = brute.contamination(t, items)
+        r = got[i]
+        hits += h > 0
+        assert (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) == (n, h, len(found), hashlib.sha256(",".join(found).encode()).hexdigest(), h > 0 and 20 * h >= n)
+    assert hits >= 3
+
+
+def test_decontamination_in_blocks(spark, docs, sf_dir, monkeypatch):
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    whole = sorted(decontam.judged(decontam.find_contamination(docs, bench)).collect())
+    kept = sorted(r["doc_id"] for r in decontam.drop_contaminated(docs, bench).collect())
+    monkeypatch.setattr(decontam, "BLOCK_WINDOWS", 5)
+    assert sorted(decontam.judged(decontam.find_contamination(docs, bench)).collect()) == whole
+    assert sorted(r["doc_id"] for r in decontam.drop_contaminated(docs, bench).collect()) == kept == sorted(r["doc_id"] for r in whole if not r["contaminated"])
+
+
+def test_spans_are_taken_out(spark):
+    item = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
+    docs = spark.createDataFrame([(1, f"Keep THIS, {item.title()}! And this."), (2, None), (3, "é")], "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in decontam.without_spans(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert out == {1: "Keep THIS, ! And this.", 2: None, 3: "é"}
+
+
+def test_quality(spark):
+    rng = random.Random(2)
+    good = [(i, prose(rng, rng.randint(5, 80)), 1) for i in range(400)]
+    bad = [(1000 + i, " ".join(w + rng.choice(["%%%", "###", "&&&"]) for w in prose(rng, rng.randint(5, 80)).split()), 0) for i in range(90)]
+    df = spark.createDataFrame(good + bad + [(5000, None, 1), (5001, "", 0)], "doc_id long, text string, quality int")
+    model = quality.fit(df.select("doc_id", "text"), df.select("doc_id", "quality"))
+    out = quality.score(df.select("doc_id", "text", F.lit("x").alias("score")), model).collect()
+    label = {i: y for i, _, y in good + bad}
+    held = [r for r in out if r["held_out"] and r["doc_id"] in label]
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in out) and len(out) == 492
+    assert sum(r["predicted"] == label[r["doc_id"]] for r in held) / len(held) > 0.97
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in out)
+    kept = quality.drop_low_quality(df, model)
+    assert kept.columns == df.columns and kept.count() == sum(r["predicted"] for r in out)
+
+
+def test_quality_without_labels(spark, empty):
+    model = quality.fit(empty.select("doc_id", "text"), spark.createDataFrame([], "doc_id long, quality int"))
+    assert quality.score(spark.createDataFrame([(1, "a"), (None, None)], "doc_id long, text string"), model).select("score").collect() == [(0.5,), (0.5,)]
+    assert quality.score(empty, model).count() == 0
+
+
+def test_warc(spark, sf_dir, tmp_path):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    source = warc.responses(pages, "2024-01-01T00:00:00Z")
+    made = warc.derivatives(source)
+    parents = {r["record_id"]: r for r in source.collect()}
+    rows = made.collect()
+    assert len(rows) == 2 * pages.count()
+    for r in rows:
+        p = parents[r["refers_to"]]
+        assert (r["page_id"], r["target_uri"], r["date"], r["payload_digest"]) == (p["page_id"], p["target_uri"], p["date"], p["payload_digest"])
+        assert r["block_digest"] == warc.digest(bytes(r["block"])) and r["content_length"] == len(r["block"])
+    text = {r["page_id"]: bytes(r["block"]).decode() for r in rows if r["record_type"] == "conversion"}
+    assert text == {1: "a&b", 2: "T <x\ngo", 3: "", 4: "", 5: "", 6: "plain\ntext", 7: "<b", 8: "x", 9: "x"}
+    import json
+
+    meta = next(json.loads(bytes(r["block"])) for r in rows if r["record_type"] == "metadata" and r["page_id"] == 2)
+    http = meta["Envelope"]["Payload-Metadata"]["HTTP-Response-Metadata"]
+    assert http["HTML-Metadata"] == {"Title": "T <x", "Metas": [], "Links": [{"path": "A@/href", "url": "/u?a&b"}]} and http["Headers"]["Content-Type"] == "text/html; charset=utf-8"
     files = warc.write_warc(source.union(made), f"file://{tmp_path}/w").collect()
     assert sum(f["n_records"] for f in files) == 3 * pages.count()
     back = warc.read_warc(spark, f"file://{tmp_path}/w")
@@ -291,8 +360,6 @@ def _best_fit(counts, size):
 
 
 def test_words_like_the_patterns(rows):
-    import pyarrow as pa
-
     texts = [r[1] or "" for r in rows]
     for table, pattern in ((textkit.NOT_SPACE, r"[^\x20\x09-\x0D]+"), (textkit.ALNUM, r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")):
         import re
