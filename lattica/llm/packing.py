@@ -36,12 +36,12 @@ SIZE = 1024
 
 def _pieces(batches: Iterator[pa.RecordBatch], vocabulary: str, cut: str, end_id: int, size: int) -> Iterator[pa.RecordBatch]:
     """Pieces with the partition they were cut in and their rank among its pieces of the same length."""
-    encode, part = encoder(vocabulary, cut).ids, TaskContext.get().partitionId()
+    encode, part = encoder(vocabulary, cut).many, TaskContext.get().partitionId()
     seen: Counter[int] = Counter()
     for batch in batches:
         out: list[tuple] = []
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-            ids = np.append(encode(text.as_py() or ""), np.uint32(end_id)).astype("<u4")
+        for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text")), strict=True):
+            ids = np.append(ids, np.uint32(end_id)).astype("<u4")
             first = (len(ids) - 1) % size + 1
             for piece, (a, b) in enumerate(zip([0, *range(first, len(ids), size)], range(first, len(ids) + 1, size), strict=True)):
                 out.append((doc_id, piece, a, b - a, zlib.crc32(ids[a:b].tobytes()), part, seen[b - a]))

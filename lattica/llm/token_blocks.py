@@ -137,7 +137,7 @@ class Shard:
 
 
 def _write(batches: Iterator[pa.RecordBatch], folder: str, vocabulary: str, cut: str, end_id: int) -> Iterator[pa.RecordBatch]:
-    encode = encoder(vocabulary, cut).ids
+    encode = encoder(vocabulary, cut).many
     part, number, doc_ids, ids, total = TaskContext.get().partitionId(), 0, [], [], 0
     files, root = fs.FileSystem.from_uri(folder)
 
@@ -153,8 +153,8 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, vocabulary: str, cut:
         return row
 
     for batch in batches:
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-            got = np.append(encode(text.as_py() or ""), np.uint32(end_id))
+        for doc_id, got in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text")), strict=True):
+            got = np.append(got, np.uint32(end_id))
             doc_ids.append(NULL_ID if doc_id is None else doc_id)
             ids.append(got)
             total += len(got)

@@ -15,7 +15,11 @@ import re
 from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
+#: Bytes of text that are split at once.
+_SLICE = 4 << 20
 #: Letters and digits up to U+00FF as the vocabularies' patterns class them.
 _L, _N = "a-zA-ZªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾"
 _PIECES = {
@@ -35,7 +39,7 @@ _CUT = re.compile(rb" (?=[^\x00-\x20\xc2\xe1-\xe3])")
 class Encoder:
     """cut: "words" for vocabularies that drop white space, "spaces" for byte-level ones that join a space to the next word, "whole" for any other."""
 
-    def __init__(self, path: str, cut: str, keep_chunks: int = 500_000, keep_pieces: int = 1_000_000):
+    def __init__(self, path: str, cut: str, keep_chunks: int = 400_000, keep_pieces: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -86,6 +90,16 @@ class Encoder:
             found = list(map(known.__getitem__, parts))
         return found
 
+    def _gather(self, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the chunks one after the other, end of each chunk's ids)."""
+        ends = np.frombuffer(self.ends, np.int64)
+        start, size = ends[order], ends[order + 1] - ends[order]
+        total = np.cumsum(size)
+        if not len(total) or not total[-1]:
+            return np.zeros(0, np.uint32), total
+        index = np.arange(total[-1]) + np.repeat(start - (total - size), size)
+        return np.frombuffer(self.flat, np.uint32)[index], total
+
     def ids(self, text: str) -> np.ndarray:
         """The text's ids as uint32; empty for an empty text."""
         if not text:
@@ -102,17 +116,45 @@ class Encoder:
             parts = _CUT.split(data) if _ODD_SPACE.search(data) else data.split(b" ")
             lead = parts[0] == b"" and len(parts) > 1
             order = ([] if lead else self._indexes(parts[:1], 0)) + self._indexes(parts[1:], 1)
-        if not order:
-            return np.zeros(0, np.uint32)
-        at = np.array(order)
-        ends = np.frombuffer(self.ends, np.int64)
-        start, size = ends[at], ends[at + 1] - ends[at]
-        total = np.cumsum(size)
-        index = np.arange(total[-1]) + np.repeat(start - (total - size), size)
-        out = np.frombuffer(self.flat, np.uint32)[index] if len(self.flat) else np.zeros(0, np.uint32)
-        del ends  # an exported buffer can't grow
+        return self._gather(np.array(order, np.int64))[0]
+
+    def many(self, texts: pa.Array) -> list[np.ndarray]:
+        """``ids`` of each text (null: empty); chunks are split and told apart for many texts at once."""
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        if self.cut == "whole":
+            return [self.ids(t) for t in texts.to_pylist()]
+        size = pc.binary_length(texts).to_numpy()
+        slow = pc.match_substring(texts, "<|")
+        if self.cut == "spaces":
+            slow = pc.or_(slow, pc.match_substring_regex(texts, "(?s) [\\x00-\\x20\\x{80}-\\x{bf}\\x{1000}-\\x{3fff}]| $"))
+        slow = slow.to_numpy(zero_copy_only=False)
+        out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
+        for i in np.flatnonzero(slow).tolist():
+            out[i] = self.ids(texts[i].as_py())
+        plain = np.flatnonzero(~slow)
+        group = np.cumsum(size[plain]) // _SLICE
+        for g in np.unique(group):
+            rows = plain[group == g]
+            for i, ids in zip(rows.tolist(), self._slice(texts.take(pa.array(rows))), strict=True):
+                out[i] = ids
         return out
 
+    def _slice(self, texts: pa.Array) -> list[np.ndarray]:
+        if len(self.ends) > self.keep_chunks:
+            self._clear()
+        words = self.cut == "words"
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts)) if words else pc.split_pattern(texts, " ")
+        flat, bounds = lists.flatten().cast(pa.large_binary()), lists.offsets.to_numpy()
+        bounds = bounds - bounds[0]
+        coded = flat.dictionary_encode()
+        known = np.array(self._indexes(coded.dictionary.to_pylist(), 0 if words else 1), np.int64)
+        order = known[coded.indices.to_numpy()]
+        if not words:
+            order[bounds[:-1]] = self._indexes(flat.take(pa.array(bounds[:-1])).to_pylist(), 0)
+        ids, ends = self._gather(order)
+        ends = np.concatenate([[0], ends])[bounds]
+        return [ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
 
 @functools.lru_cache(maxsize=4)
 def encoder(path: str, cut: str) -> Encoder:
