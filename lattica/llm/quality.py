@@ -4,7 +4,7 @@ Words, pairs of neighbouring words and character n-grams of a text are hashed
 into BUCKETS rows of an embedding table; a document is the mean of its rows, a
 softmax layer gives the probability of label 1. Table and layer are trained
 together by stochastic gradient descent in numpy, on at most ``sample`` labelled
-rows (those with the smallest hash of their id), on whole texts. As the layer
+rows (those with the smallest hash of their id), on whole texts, in one task. As the layer
 is linear in the mean, each bucket's contribution to the score is one number,
 and scoring is a look-up and a mean for each text.
 
@@ -32,7 +32,7 @@ from . import textkit
 U = np.uint64
 BUCKETS = 1 << 17
 DIMENSIONS, EPOCHS, RATE = 8, 4, 0.3
-#: Labelled rows to learn from at most; at 3 KB of text each some 20 MB pass the driver.
+#: Labelled rows to learn from at most; at 3 KB of text each some 20 MB meet in the task that trains.
 SAMPLE = 6_000
 GRAMS = (3, 4)
 #: The row that all pairs of a word with itself share.
@@ -77,27 +77,31 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(out + self.bias, -30, 30)))
 
 
-def train(texts: list[str], labels: list[int], seed: int = 5) -> Model:
+def train(texts: pa.Array, labels: list[int], seed: int = 5) -> Model:
     y = np.array(labels, np.int64)
     share = float(y.mean()) if len(y) else 0.5
     if not len(y) or not 0 < share < 1:
         return Model(np.zeros(BUCKETS, np.float32), float(np.log((share + 1e-3) / (1 - share + 1e-3))))
-    docs = []
-    for _, _, data, offsets in textkit.slices(pa.array(texts, pa.string())):
+    ids_of, part_of, ends = [], [], [0]
+    for _, _, data, offsets in textkit.slices(texts):
         for f in features(data, offsets):
             ids, n = np.unique(f, return_counts=True)
-            docs.append((ids.astype(np.int32), (n / max(1, n.sum())).astype(np.float32)))
+            ids_of.append(ids)
+            part_of.append((n / max(1, n.sum())).astype(np.float32))
+            ends.append(ends[-1] + len(ids))
+    all_ids, all_parts = np.concatenate(ids_of), np.concatenate(part_of)
+    del ids_of, part_of
     rng = np.random.default_rng(seed)
     table = rng.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (BUCKETS, DIMENSIONS)).astype(np.float32)
     layer, bias = rng.normal(0, 0.5, (DIMENSIONS, 2)).astype(np.float32), np.zeros(2, np.float32)
     # the rarer label weighs as much as the other in all
     balance = np.array([0.5 / (1 - share), 0.5 / share])
-    steps, done = EPOCHS * len(docs), 0
+    steps, done = EPOCHS * len(y), 0
     for _ in range(EPOCHS):
-        for i in rng.permutation(len(docs)):
+        for i in rng.permutation(len(y)):
             rate = RATE * (1 - done / steps) * min(4.0, balance[y[i]])
             done += 1
-            ids, part = docs[i]
+            ids, part = all_ids[ends[i] : ends[i + 1]], all_parts[ends[i] : ends[i + 1]]
             if not len(ids):
                 continue
             mean = part @ table[ids]
@@ -123,9 +127,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str = "
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3))
     usable = labels.select("doc_id", F.col(label).cast("int").alias("y")).filter(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & (fold != 1))
     few = usable.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").groupBy("doc_id", "y").agg(F.max("text").alias("text")).collect()
-    rows.sort(key=lambda r: r["doc_id"])
-    return train([r["text"] or "" for r in rows], [r["y"] for r in rows])
+    rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").groupBy("doc_id", "y").agg(F.max("text").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = pa.Table.from_batches(batches, pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("text", pa.string())])).sort_by("doc_id")
+        model = train(found.column("text"), found.column("y").to_pylist())
+        yield pa.record_batch([pa.array([model.weight.astype("<f4").tobytes()]), pa.array([model.bias])], ["weight", "bias"])
+
+    # the bounded sample meets in one task, and only the model passes the driver
+    made = rows.select(F.col("doc_id").cast("long"), "y", "text").repartition(1).mapInArrow(run, "weight binary, bias double").first()
+    return train(pa.array([], pa.string()), []) if made is None else Model(np.frombuffer(made["weight"], "<f4"), made["bias"])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
