@@ -39,7 +39,7 @@ _CUT = re.compile(rb" (?=[^\x00-\x20\xc2\xe1-\xe3])")
 class Encoder:
     """cut: "words" for vocabularies that drop white space, "spaces" for byte-level ones that join a space to the next word, "whole" for any other."""
 
-    def __init__(self, path: str, cut: str, keep_chunks: int = 400_000, keep_pieces: int = 600_000):
+    def __init__(self, path: str, cut: str, keep_chunks: int = 250_000, keep_pieces: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
