@@ -1,12 +1,13 @@
 """Near-duplicate classes by a chosen-path similarity join.
 
 A document is a set of word shingles. ``depth`` minwise tokens of the set, each
-under its own hash, choose the first node of a tree; documents of a node that
-is still large follow one or two further minwise tokens (1/similarity on
-average) to its children. Small nodes are compared exhaustively. In a large
-node each document is compared with one random member, which is all that
-connectivity of a group of copies needs. Independent trees are repeated until
-a pair of exactly the wanted similarity is missed with probability ``miss``.
+under its own hash, choose its node in a tree. Every node is compared
+exhaustively, as far as its documents aren't known to be one component: first
+each document with one random member, which links most groups of copies, then
+what is still in several components. Small nodes give their pairs as rows;
+large ones are cut into blocks at random, each pair of blocks is compared in
+one task, and only links leave it. Trees are repeated until a pair of exactly
+the wanted similarity is missed with probability ``miss``.
 
 Equal sets are one class from the start. Every link is confirmed on full sets.
 The depth follows the number of distinct sets, so that unrelated documents
@@ -34,8 +35,10 @@ from .workspace import Workspace
 U = np.uint64
 #: Coordinates of a signature; the first HALF of them are the estimate that pairs are sieved by.
 COORDINATES, HALF = 128, 64
-#: Nodes up to this size are compared exhaustively.
+#: The pairs of nodes up to this size are rows; larger nodes are compared block by block.
 SMALL = 24
+#: Documents and shingles (16 MB) of a block, on average.
+BLOCK_DOCS, BLOCK_SHINGLES = 512, 1 << 21
 #: Standard deviations below the wanted similarity at which the estimate drops a pair (1 in 10**6).
 MARGIN = 4.8
 #: Up to so many ids (16 MB) of documents in a pair are broadcast to the scan of texts; more are joined by shuffle.
@@ -64,17 +67,9 @@ def signatures(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Rec
         yield pa.record_batch([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(packed, pa.binary())], ["doc_id", "n_shingles", "digest", "signature"])
 
 
-def tree_shape(tree: int, depth: int, levels: int, similarity: float) -> list[list[tuple[int, tuple[int, ...]]]]:
-    """For each level of a tree the (parent, coordinates) of its nodes; fixed by the arguments."""
-    rng = np.random.default_rng([7, tree])
-    shape = [[(0, tuple(int(c) for c in rng.choice(COORDINATES, depth, replace=False)))]]
-    for _ in range(levels - 1):
-        row = []
-        for parent in range(len(shape[-1])):
-            for _ in range(1 + (rng.random() < 1 / similarity - 1)):
-                row.append((parent, (int(rng.integers(COORDINATES)),)))
-        shape.append(row)
-    return shape
+def tree_paths(depth: int, trees: int) -> list[list[int]]:
+    """For each tree the coordinates that choose a document's node; fixed by the arguments."""
+    return [np.random.default_rng([7, tree]).choice(COORDINATES, depth, replace=False).tolist() for tree in range(trees)]
 
 
 def _step(keys: np.ndarray, values: np.ndarray, salt: int) -> np.ndarray:
@@ -83,35 +78,98 @@ def _step(keys: np.ndarray, values: np.ndarray, salt: int) -> np.ndarray:
     return keys
 
 
-def _nodes(batches: Iterator[pa.RecordBatch], shapes: list, level: int) -> Iterator[pa.RecordBatch]:
-    """Rows (rep, signature[, at]) to rows (rep, node, key): the nodes of a level that the documents reach.
-
-    ``at`` lists, after the first level, the documents' large nodes of the level before, as structs (node, key).
-    """
+def _nodes(batches: Iterator[pa.RecordBatch], paths: list[list[int]]) -> Iterator[pa.RecordBatch]:
+    """Rows (rep, signature) to rows (rep, key): the node of each tree that the document reaches."""
     for batch in batches:
+        if not batch.num_rows:
+            continue
         sig = np.frombuffer(b"".join(batch.column("signature").to_pylist()), "<u2").reshape(-1, COORDINATES)
         rep = batch.column("rep").to_numpy(zero_copy_only=False)
-        if not len(rep):
+        keys = [_step(np.full(len(rep), textkit.mix(np.array([tree + 1], U))[0]), sig[:, path], 0) for tree, path in enumerate(paths)]
+        yield pa.record_batch([pa.array(np.tile(rep, len(paths))), pa.array(np.concatenate(keys).astype(np.int64))], ["rep", "key"])
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by (key, i, j), as one table for each of these."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cell = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "i", "j")], axis=1)
+        cuts = [0, *(np.flatnonzero((cell[1:] != cell[:-1]).any(axis=1)) + 1).tolist(), len(cell)]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            if held and tuple(cell[lo]) != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = tuple(cell[lo])
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def compare_cell(rep: np.ndarray, block: np.ndarray, label: np.ndarray, sig: np.ndarray, least: int, percent: int, sets: list[np.ndarray] | None) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """All pairs of two blocks' documents, or of one block's own, that have different labels.
+
+    Without ``sets``: which documents have a partner that the estimate lets through. With them: pairs that are
+    as alike as wanted, less those whose ends other pairs link already.
+    """
+    if block.min() == block.max():
+        order, first = np.arange(len(rep)), len(rep)
+    else:
+        lower = block == block.min()
+        if 2 * lower.sum() > len(rep):
+            lower = ~lower
+        order, first = np.concatenate([np.flatnonzero(lower), np.flatnonzero(~lower)]), int(lower.sum())
+    whole = first == len(rep)
+    label = label[order].copy()
+    sig = sig[order]
+    near, links = np.zeros(len(rep), bool), []
+    if sets is not None:
+        size = np.array([len(sets[o]) for o in order])
+        ends = np.cumsum(size)
+        token = np.unique(np.concatenate([sets[o] for o in order]), return_inverse=True)[1]
+        mine = np.zeros(int(token.max()) + 1, np.int32)
+    for i in range(first):
+        low = i + 1 if whole else first
+        at = low + np.flatnonzero(label[low:] != label[i])
+        at = at[(sig[at] == sig[i]).sum(axis=1) >= least]
+        if not len(at):
+            continue
+        if sets is None:
+            near[i] = True
+            near[at] = True
             continue
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        if level == 0:
-            for tree, shape in enumerate(shapes):
-                key = _step(np.full(len(rep), textkit.mix(np.array([tree + 1], U))[0]), sig[:, list(shape[0][0][1])], 0)
-                out.append((rep, np.full(len(rep), tree * 1000), key))
+        own = token[ends[i] - size[i] : ends[i]]
+        mine[own] = 1
+        if 4 * len(at) < len(rep):
+            both = np.array([mine[token[ends[k] - size[k] : ends[k]]].sum() for k in at], np.int64)
         else:
-            at = batch.column("at")
-            row = np.repeat(np.arange(len(rep)), np.diff(at.offsets.to_numpy()))
-            flat = at.flatten()
-            node, key = flat.field("node").to_numpy(), flat.field("key").to_numpy().astype(U)
-            for n in np.unique(node):
-                mine = node == n
-                tree, parent = divmod(int(n), 1000)
-                for child, (p, coordinates) in enumerate(shapes[tree][level]):
-                    if p == parent:
-                        r = row[mine]
-                        out.append((rep[r], np.full(len(r), tree * 1000 + child), _step(key[mine], sig[r][:, list(coordinates)], level * 1000 + child + 1)))
-        r, n, k = (np.concatenate(x) for x in zip(*out, strict=True))
-        yield pa.record_batch([pa.array(r), pa.array(n.astype(np.int32)), pa.array(k.astype(np.int64))], ["rep", "node", "key"])
+            both = np.add.reduceat(mine[token], ends - size)[at].astype(np.int64)
+        mine[own] = 0
+        at = at[100 * both >= percent * (size[i] + size[at] - both)]
+        if len(at):
+            joined, one = np.unique(label[at], return_index=True)
+            links += [(min(x, y), max(x, y)) for x, y in ((int(rep[order[i]]), int(rep[order[k]])) for k in at[one])]
+            label[np.isin(label, joined)] = label[i]
+    back = np.zeros(len(rep), bool)
+    back[order] = near
+    return back, links
+
+
+def _compared(batches: Iterator[pa.RecordBatch], least: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows (key, i, j, block, rep, component, s[, set]) sorted by cell: without sets the rows that have a likely partner, with them links."""
+    for cell in _cells(batches):
+        rep, block, label = (cell.column(c).to_numpy() for c in ("rep", "block", "component"))
+        sig = np.frombuffer(b"".join(cell.column("s").to_pylist()), "<u2").reshape(-1, HALF)
+        if "set" not in cell.column_names:
+            near, _ = compare_cell(rep, block, label, sig, least, percent, None)
+            yield from cell.select(["key", "i", "j", "block", "rep", "component"]).filter(pa.array(near)).combine_chunks().to_batches()
+            continue
+        sets = [x for part in cell.column("set").chunks for x in np.split(part.flatten().to_numpy(zero_copy_only=False), np.cumsum(np.diff(part.offsets.to_numpy()))[:-1])]
+        _, links = compare_cell(rep, block, label, sig, least, percent, sets)
+        if links:
+            yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], ["a", "b"])
 
 
 def _estimated(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
@@ -161,12 +219,42 @@ def connected(spark: SparkSession, links: DataFrame, work: Workspace, name: str)
             return labels.select("id", F.col("label").alias("component"))
 
 
+def _sets_of(docs: DataFrame, wanted: DataFrame, width: int, work: Workspace, name: str) -> DataFrame:
+    few = wanted.count() <= BROADCAST_IDS
+    texts = docs.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
+    # rows of one id are one document, which the set of any of them stands for
+    return work.table(texts.mapInArrow(lambda it: _sets(it, width), "id long, set array<long>"), name)
+
+
+def _blockwise(docs: DataFrame, large: DataFrame, half: DataFrame, width: int, least: int, percent: int, work: Workspace) -> DataFrame:
+    """Links (a, b) between the components of each node of ``large`` (key, rep, n_shingles, component).
+
+    The largest component of a node needs no comparison with itself: only the others' blocks meet all blocks.
+    """
+    sizes = large.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w"))
+    main = F.max(F.struct("n", "component", "w"))
+    nodes = sizes.groupBy("key").agg(main.alias("main"), F.sum("n").alias("n"), F.sum("w").alias("w")).filter("main.n < n")
+    blocks = "cast(greatest(ceil({n} / %d), ceil({w} / %d), 1) as int)" % (BLOCK_DOCS, BLOCK_SHINGLES)
+    nodes = work.table(nodes.select("key", F.col("main.component").alias("most"), F.expr(blocks.format(n="(n - main.n)", w="(w - main.w)")).alias("other"), F.expr(blocks.format(n="main.n", w="main.w")).alias("own")), "open")
+    mine = large.join(nodes, "key").withColumn("block", F.expr("cast(if(component = most, other + pmod(xxhash64(rep, key), own), pmod(xxhash64(rep, key), other)) as int)"))
+    met = F.expr("transform(sequence(0, if(component = most, other, other + own) - 1), x -> struct(least(x, block) as i, greatest(x, block) as j))")
+    cells = work.table(mine.join(half, "rep").select("key", "rep", "component", "block", "s", F.explode(met).alias("c")).select("key", "c.i", "c.j", "block", "rep", "component", "s"), "cells")
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    likely = work.table(dealt(cells).mapInArrow(lambda it: _compared(it, least, percent), "key long, i int, j int, block int, rep long, component long"), "likely")
+    sets = _sets_of(docs, work.table(likely.select(F.col("rep").alias("doc_id")).distinct(), "likely-ids"), width, work, "likely-sets")
+    one = sets.withColumnRenamed("id", "rep")
+    links = work.table(dealt(likely.join(half, "rep").join(one, "rep")).mapInArrow(lambda it: _compared(it, least, percent), "a long, b long").distinct(), "block-links")
+    work.drop("open", "cells", "likely", "likely-ids", "likely-sets")
+    return links
+
+
 def _confirmed(docs: DataFrame, pairs: DataFrame, width: int, percent: int, work: Workspace, name: str) -> DataFrame:
     """The pairs whose full sets are as alike as wanted. Only the documents of a pair are read again."""
     wanted = work.table(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), f"{name}-wanted")
-    few = wanted.count() <= BROADCAST_IDS
-    texts = docs.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
-    sets = work.table(texts.mapInArrow(lambda it: _sets(it, width), "id long, set array<long>"), f"{name}-sets")
+    sets = _sets_of(docs, wanted, width, work, f"{name}-sets")
     x = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
     both = x.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("i"), (F.size("x") + F.size("y")).cast("long").alias("t"))
     links = work.table(both.filter(100 * F.col("i") >= percent * (F.col("t") - F.col("i"))).select("a", "b").distinct(), f"{name}-links")
@@ -174,7 +262,7 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, width: int, percent: int, work
     return links
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, miss: float = 1e-4, levels: int = 5) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, miss: float = 1e-4) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept."""
     spark = docs.sparkSession
     percent = round(similarity * 100)
@@ -183,9 +271,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, mi
     id_type = docs.schema["doc_id"].dataType.simpleString()
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     marks = work.table(docs.mapInArrow(lambda it: signatures(it, width), "doc_id long, n_shingles long, digest binary, signature binary"), "marks")
-    reps = work.table(marks.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "signature")).alias("x")).select("digest", F.col("x.doc_id").alias("rep"), "x.signature"), "reps")
+    reps = work.table(marks.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "signature", "n_shingles")).alias("x")).select("digest", F.col("x.doc_id").alias("rep"), "x.signature", "x.n_shingles"), "reps")
     depth, trees = plan(reps.count(), similarity, miss)
-    shapes = [tree_shape(t, depth, levels, similarity) for t in range(trees)]
+    paths = tree_paths(depth, trees)
 
     half = reps.select(F.col("rep"), F.substring("signature", 1, 2 * HALF).alias("s"))
     least = math.floor(HALF * similarity - MARGIN * math.sqrt(HALF * similarity * (1 - similarity)))
@@ -196,22 +284,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, mi
         with_both = with_a.join(half.select(F.col("rep").alias("b"), F.col("s").alias("sb")), "b")
         return work.table(with_both.mapInArrow(lambda it: _estimated(it, least), "a long, b long, same int"), name)
 
-    def met_in(reached: DataFrame, level: int) -> DataFrame:
-        """(key, rep, node, n, pivot): the documents of each node of a level that holds several, and one of them at random."""
-        rows = work.table(reached.mapInArrow(lambda it: _nodes(it, shapes, level), "rep long, node int, key long"), f"nodes-{level}")
-        # one order of documents per level: nodes that share documents tend to share the one that all are compared with
-        random_member = F.min(F.struct(F.xxhash64("rep", F.lit(level)).alias("r"), "rep"))
-        sizes = work.table(rows.groupBy("key").agg(F.count("*").alias("n"), random_member.alias("p")).filter("n > 1").select("key", "n", F.col("p.rep").alias("pivot")), f"sizes-{level}")
-        out = work.table(rows.join(sizes, "key"), f"shared-{level}")
-        work.drop(f"nodes-{level}", f"sizes-{level}")
-        return out
-
-    def against_pivot(met: DataFrame) -> DataFrame:
-        return met.filter("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"))
-
-    # the first nodes' documents against one of them; of each document's pairs the likeliest first
-    shared = [met_in(reps.select("rep", "signature"), 0)]
-    stars = likely(against_pivot(shared[0]), "stars")
+    # (key, rep, n, pivot): the documents of each node that holds several, and one of them at random;
+    # one order of documents: nodes that share documents tend to share the one that all are compared with
+    nodes = work.table(reps.select("rep", "signature").mapInArrow(lambda it: _nodes(it, paths), "rep long, key long"), "nodes")
+    random_member = F.min(F.struct(F.xxhash64("rep", F.lit(0)).alias("r"), "rep"))
+    sizes = work.table(nodes.groupBy("key").agg(F.count("*").alias("n"), random_member.alias("p")).filter("n > 1").select("key", "n", F.col("p.rep").alias("pivot")), "sizes")
+    shared = work.table(nodes.join(sizes, "key"), "shared")
+    work.drop("nodes", "sizes")
+
+    # each node's documents against one of them; of each document's pairs the likeliest first
+    stars = likely(shared.filter("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")), "stars")
     ends = stars.union(stars.select(F.col("b"), F.col("a"), "same"))
     best = ends.groupBy("a").agg(F.max(F.struct("same", (-F.col("b")).alias("b"))).alias("m")).select(F.least("a", -F.col("m.b")).alias("a"), F.greatest("a", -F.col("m.b")).alias("b")).distinct()
     best = work.table(best, "best")
@@ -221,33 +303,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, mi
     def of(column: str, name: str) -> DataFrame:
         return one.select(F.col("id").alias(column), F.col("component").alias(name))
 
-    # a large node is followed further only while its documents are in several components
-    for level in range(1, levels):
-        large = shared[-1].filter(F.col("n") > SMALL).select("key", "rep", "node").join(of("rep", "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        open_ = work.table(large.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key"), f"open-{level}")
-        if not open_.limit(1).count():
-            break
-        at = large.join(open_, "key", "left_semi").groupBy("rep").agg(F.collect_list(F.struct("node", "key")).alias("at"))
-        shared.append(met_in(at.join(reps.select("rep", "signature"), "rep"), level))
-    met = shared[0]
-    for more in shared[1:]:
-        met = met.union(more)
-
-    # then only what can still join two components: the other pairs with a random member, and all pairs of the small nodes
+    # then only what can still join two components: the other pairs with a random member, and all pairs of the nodes
     def across(pairs: DataFrame) -> DataFrame:
         return pairs.join(of("a", "ca"), "a", "left").join(of("b", "cb"), "b", "left").filter("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
 
     left = across(stars.join(best, ["a", "b"], "left_anti").select("a", "b"))
     member = F.struct(F.coalesce("component", "rep").alias("c"), "rep")
-    small = met.filter((F.col("n") > 2) & (F.col("n") <= SMALL)).select("key", "rep").join(of("rep", "component"), "rep", "left").groupBy("key").agg(F.array_sort(F.collect_set(member)).alias("m")).filter("m[0].c <> m[size(m) - 1].c")
+    small = shared.filter((F.col("n") > 2) & (F.col("n") <= SMALL)).select("key", "rep").join(of("rep", "component"), "rep", "left").groupBy("key").agg(F.array_sort(F.collect_set(member)).alias("m")).filter("m[0].c <> m[size(m) - 1].c")
     apart = "flatten(transform(m, (x, i) -> transform(filter(slice(m, i + 2, size(m)), y -> y.c <> x.c), y -> struct(least(x.rep, y.rep) as a, greatest(x.rep, y.rep) as b))))"
     new = small.select(F.explode(F.expr(apart)).alias("p")).select("p.a", "p.b")
-    for more in shared[1:]:
-        new = new.union(across(against_pivot(more).distinct()))
     rest = likely(new.join(stars, ["a", "b"], "left_anti"), "rest")
-    work.drop(*[f"shared-{i}" for i in range(len(shared))], *[f"open-{i}" for i in range(1, levels)])
+    large = shared.filter(F.col("n") > SMALL).select("key", "rep").join(reps.select("rep", "n_shingles"), "rep").join(of("rep", "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    third = _blockwise(docs, large, half, width, least, percent, work)
+    work.drop("shared")
     second = _confirmed(docs, work.table(rest.select("a", "b").union(left).distinct(), "crossing"), width, percent, work, "second")
-    classes = connected(spark, first.union(second), work, "two")
+    classes = connected(spark, first.union(second).union(third), work, "two")
     work.drop("stars", "rest", "best", "crossing")
 
     of_set = reps.select("digest", "rep").join(classes, reps["rep"] == classes["id"], "left").select("digest", F.coalesce("component", "rep").alias("component"))
