@@ -26,7 +26,7 @@ ASSIGN = r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']
 #: A run of too few characters of these two has no part with enough of them, so the bounds may stand in the patterns.
 ACCESS = r"AKIA[A-Z0-9]{16,}+"
 HEX = r"[0-9a-f]{24,}+"
-RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+=*+"
+RUN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+=*+"
 BASE_KINDS = ("assign", "access", "hex")
 #: (characters, alphabet); the first that fits is taken. Base64 holds both of its usual pairs of signs.
 ALPHABETS = (

@@ -218,6 +218,15 @@ def test_redaction(docs, rows):
     assert pii.redact(docs).columns == docs.columns
 
 
+def test_secrets_after_an_equals_sign(spark):
+    rng = random.Random(29)
+    made = ["".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(40)) for _ in range(5)]
+    texts = [f"AWS_ACCESS_KEY={made[0]}", f"export SIGNING_KEY={made[1]}", f"see https://a.b/c?sig={made[2]} now", f"{made[3]}=={made[4]}"]
+    rows = list(enumerate(texts))
+    found = {r["doc_id"]: [x["text"] for x in r["random"]] for r in secret_scan.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {0: [made[0]], 1: [made[1]], 2: [made[2]], 3: [made[3] + "==", made[4]]}
+
+
 def test_secrets(spark, sf_dir, rows, empty):
     got = _spans(queries.op4_secrets(spark, sf_dir), "op4", brute.SECRETS, rows)
     text = {r[0]: r[1] for r in rows}
