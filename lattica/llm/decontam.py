@@ -4,11 +4,11 @@ Items are cut into windows of ``width`` consecutive words (a shorter item is one
 The windows' hashes go to every task; a task hashes all windows of its texts
 at once, looks them up, compares the words of each hit, and marks the words inside. Benchmark
 windows are sent in blocks of at most BLOCK_WINDOWS, whatever the benchmark's size; with several blocks each
-scans the documents once and the hits are put together per document.
+scans the texts as they were written once, and the hits are put together per row by a key that is written with the rows.
 
 Defined results: null has no words; an item without words is in nothing; items
-with equal windows are all found; every row gives one row, repeated ones too
-(with several blocks rows of one id are one document); other columns are ignored.
+with equal windows are all found; every row gives one row, repeated ones and
+those without an id too; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit
+from .workspace import Workspace
 
+#: Key of a row while the hits of several blocks are put together.
+ROW = "__row"
 WIDTH = 13
 #: Windows in one broadcast: about 100 MB of words and hashes at 13 words each.
 BLOCK_WINDOWS = 500_000
@@ -82,47 +85,58 @@ class Windows:
         for i in range(len(offsets) - 1):
             yield int(first[i + 1] - first[i]), hit[first[i] : first[i + 1]], found.get(i, set())
 
-    def word_bytes(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        _, starts, ends, _, _ = textkit.words(data, offsets, textkit.ALNUM)
-        return starts, ends
 
-
-def _blocks(benchmark: DataFrame, width: int) -> list[list]:
+def _blocks(benchmark: DataFrame, width: int, work: Workspace) -> tuple[int, Iterator[list]]:
+    """The number of blocks of windows, and the blocks, each read when it is asked for."""
     rows = benchmark.select(F.col("item_id").cast("string"), "text").mapInArrow(lambda it: item_windows(it, width), "item_id string, size int, hash long, words binary").distinct()
+    rows = work.table(rows, "windows")
     total = rows.count()
-    n = max(1, -(-total // BLOCK_WINDOWS))
-    if n == 1:
-        return [rows.collect()]
-    return [rows.filter(F.expr(f"pmod(xxhash64(words), {2 * n}) = {i}")).collect() for i in range(2 * n)]
+    if total <= BLOCK_WINDOWS:
+        return 1, iter([rows.collect()])
+    n = 2 * -(-total // BLOCK_WINDOWS)
+    return n, (rows.filter(F.expr(f"pmod(xxhash64(words), {n}) = {i}")).collect() for i in range(n))
+
+
+def _scan(docs: DataFrame, key: str, block: list, all_rows: bool) -> tuple[DataFrame, object]:
+    """(key, n_words, hit_words, items) of the rows, or of those with a hit, and the broadcast."""
+    windows = docs.sparkSession.sparkContext.broadcast(Windows(block))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, hits, items = [], [], []
+            for _, _, data, offsets in textkit.slices(batch.column("text")):
+                for count, hit, found in windows.value.scan(data, offsets):
+                    n.append(count)
+                    hits.append(np.flatnonzero(hit).astype(np.int32))
+                    items.append(sorted(found))
+            out = pa.record_batch([batch.column(key), pa.array(n, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], [key, "n_words", "hit_words", "items"])
+            yield out if all_rows else out.filter(pa.array([len(h) > 0 for h in hits], pa.bool_()))
+
+    return docs.select(key, "text").mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, n_words long, hit_words array<int>, items array<string>"), windows
+
+
+def _in_blocks(docs: DataFrame, blocks: Iterator[list], work: Workspace) -> tuple[DataFrame, DataFrame]:
+    """The rows with a key, and (key, n_words, hit_words, items) of each, from the hits of all blocks."""
+    keyed = work.table(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    whole = None
+    for i, block in enumerate(blocks):
+        hits, windows = _scan(keyed, ROW, block, i == 0)
+        hits = work.table(hits, f"hits-{i}")
+        windows.unpersist()
+        whole = hits if whole is None else whole.union(hits)
+    merged = whole.groupBy(ROW).agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit_words")))).alias("hit_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    return keyed, merged
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
-    """One row per document (doc_id, text): doc_id, n_words, hit_words (positions), items (sorted ids as strings)."""
-    spark = docs.sparkSession
-    id_type = docs.schema["doc_id"].dataType.simpleString()
+    """One row per row of ``docs`` (doc_id, text): doc_id, n_words, hit_words (positions), items (sorted ids as strings)."""
+    work = Workspace(docs.sparkSession, "decontam")
     docs = docs.select("doc_id", "text")
-    parts = []
-    for rows in _blocks(benchmark, width):
-        windows = spark.sparkContext.broadcast(Windows(rows))
-
-        def run(batches: Iterator[pa.RecordBatch], windows=windows) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                n, hits, items = [], [], []
-                for _, _, data, offsets in textkit.slices(batch.column("text")):
-                    for count, hit, found in windows.value.scan(data, offsets):
-                        n.append(count)
-                        hits.append(np.flatnonzero(hit).astype(np.int32))
-                        items.append(sorted(found))
-                yield pa.record_batch([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], ["doc_id", "n_words", "hit_words", "items"])
-
-        parts.append(docs.mapInArrow(run, f"doc_id {id_type}, n_words long, hit_words array<int>, items array<string>"))
-    if len(parts) == 1:
-        return parts[0]
-    whole = parts[0]
-    for more in parts[1:]:
-        whole = whole.union(more)
-    merged = whole.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit_words")))).alias("hit_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return merged
+    n, blocks = _blocks(benchmark, width, work)
+    if n == 1:
+        return _scan(docs, "doc_id", next(blocks), True)[0]
+    keyed, merged = _in_blocks(docs, blocks, work)
+    return keyed.select(ROW, "doc_id").join(merged, ROW).select("doc_id", "n_words", "hit_words", "items")
 
 
 def judged(found: DataFrame) -> DataFrame:
@@ -133,43 +147,52 @@ def judged(found: DataFrame) -> DataFrame:
 
 def without_spans(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id, text) with every hit stretch of words, and what stands between its words, taken out of the text as it was written."""
-    spark = docs.sparkSession
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    out = docs.select("doc_id", "text")
-    for rows in _blocks(benchmark, width):
-        windows = spark.sparkContext.broadcast(Windows(rows))
-
-        def run(batches: Iterator[pa.RecordBatch], windows=windows) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                texts = []
-                for _, _, data, offsets in textkit.slices(batch.column("text")):
-                    starts, ends = windows.value.word_bytes(data, offsets)
-                    at = 0
-                    for i, (count, hit, _) in enumerate(windows.value.scan(data, offsets)):
-                        own, lo = data[offsets[i] : offsets[i + 1]].tobytes(), offsets[i]
-                        if hit.any():
-                            edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
-                            kept, last = [], 0
-                            for a, b in zip(edge[::2] + at, edge[1::2] + at - 1, strict=True):
-                                kept.append(own[last : starts[a] - lo])
-                                last = ends[b] - lo
-                            own = b"".join([*kept, own[last:]])
-                        texts.append(own.decode())
-                        at += count
-                texts = pa.array(texts, pa.string())
-                yield pa.record_batch([batch.column("doc_id"), pc.if_else(batch.column("text").is_null(), None, texts)], ["doc_id", "text"])
-
-        out = out.mapInArrow(run, f"doc_id {id_type}, text string")
-    return out
+    work = Workspace(docs.sparkSession, "decontam")
+    docs = docs.select("doc_id", "text")
+    n, blocks = _blocks(benchmark, width, work)
+    if n == 1:
+        found = docs.withColumn("hit_words", F.lit(None).cast("array<int>"))
+        windows = docs.sparkSession.sparkContext.broadcast(Windows(next(blocks)))
+    else:
+        # hits of all blocks are found in the text as it was written, before anything is taken out
+        keyed, merged = _in_blocks(docs, blocks, work)
+        found = keyed.join(merged.select(ROW, "hit_words"), ROW).select("doc_id", "text", "hit_words")
+        windows = None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            given = batch.column("hit_words").to_pylist()
+            for at, _, data, offsets in textkit.slices(batch.column("text")):
+                _, starts, ends, _, first = textkit.words(data, offsets, textkit.ALNUM)
+                if windows is not None:
+                    hits = [np.flatnonzero(hit) for _, hit, _ in windows.value.scan(data, offsets)]
+                else:
+                    hits = [np.array(given[at + i], np.int64) for i in range(len(offsets) - 1)]
+                for i, hit in enumerate(hits):
+                    own, lo = data[offsets[i] : offsets[i + 1]].tobytes(), offsets[i]
+                    if len(hit):
+                        edge = np.flatnonzero(np.diff(hit) > 1)
+                        kept, last = [], 0
+                        for a, b in zip(hit[[0, *(edge + 1)]] + first[i], hit[[*edge, len(hit) - 1]] + first[i], strict=True):
+                            kept.append(own[last : starts[a] - lo])
+                            last = ends[b] - lo
+                        own = b"".join([*kept, own[last:]])
+                    texts.append(own.decode())
+            yield pa.record_batch([batch.column("doc_id"), pc.if_else(batch.column("text").is_null(), None, pa.array(texts, pa.string()))], ["doc_id", "text"])
+
+    return found.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """The rows of ``docs`` that are not contaminated. With one block of windows each batch is filtered where it is scanned."""
-    blocks = _blocks(benchmark, width)
-    if len(blocks) > 1:
-        bad = judged(find_contamination(docs, benchmark, width)).filter("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-        return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_bad")), "left_anti")
-    windows = docs.sparkSession.sparkContext.broadcast(Windows(blocks[0]))
+    work = Workspace(docs.sparkSession, "decontam")
+    n, blocks = _blocks(benchmark, width, work)
+    if n > 1:
+        keyed, merged = _in_blocks(docs, blocks, work)
+        bad = merged.filter("size(hit_words) > 0 and 20 * size(hit_words) >= n_words").select(ROW)
+        return keyed.join(bad, ROW, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    windows = docs.sparkSession.sparkContext.broadcast(Windows(next(blocks)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -326,6 +326,23 @@ def test_decontamination_in_blocks(spark, docs, sf_dir, monkeypatch):
     assert sorted(r["doc_id"] for r in decontam.drop_contaminated(docs, bench).collect()) == kept == sorted(r["doc_id"] for r in whole if not r["contaminated"])
 
 
+def test_decontamination_in_blocks_of_repeated_and_null_ids(spark, monkeypatch):
+    words = [f"t{i}" for i in range(40)]
+    item = " ".join(words)
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(1, item), (1, "clean words here"), (None, f"so {item} so"), (None, "clean without an id"), (None, None), (2, f"a b {' '.join(words[:20])} c {' '.join(words[20:])} d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def results():
+        order = lambda r: str(r)
+        return [sorted((tuple(r) for r in f(docs, bench).collect()), key=order) for f in (decontam.find_contamination, decontam.drop_contaminated, decontam.without_spans)]
+
+    whole = results()
+    assert len(whole[0]) == len(rows) and (None, "clean without an id") in whole[1] and (2, "a b  c  d") in whole[2]
+    monkeypatch.setattr(decontam, "BLOCK_WINDOWS", 5)
+    assert results() == whole
+
+
 def test_spans_are_taken_out(spark):
     item = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
     docs = spark.createDataFrame([(1, f"Keep THIS, {item.title()}! And this."), (2, None), (3, "é")], "doc_id long, text string")
