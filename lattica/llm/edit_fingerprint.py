@@ -4,15 +4,20 @@ Walk: a text is read character by character; each character is repeated until
 a random bit, shared by all texts and drawn for (time, character), lets the
 walk move on. After an edit two walks fall back into step, so texts at a small
 edit distance agree at most times: edit distance becomes Hamming distance.
-Walks start anew each BLOCK characters, which bounds a lane's length and lets
-numpy walk many blocks at once; a shift at a block's start is one more edit.
+Walks start anew where the text itself says so: at contexts whose hash ends in
+zeros, on average each CUT characters, and BLOCK characters after the last start
+at the latest. So an insertion of any length puts no walk out of step beyond the
+next such place, and numpy can walk many blocks at once.
 
 Bit sampling: a fingerprint has PLACES hexadecimal digits. Place k looks at one
-random time of the embedded text, by a rule that depends on the embedded length
-alone and changes rarely as it grows, and holds 4 bits of a hash of the
-CONTEXT characters that the walk stands at. Likeness is the share of equal digits beyond
-chance. Near texts agree in a band of digits with high probability; pairs that
-meet in a band are verified on whole fingerprints.
+block, chosen by a hash of the context that the block starts with, in proportion
+to its length, whatever stands before it; in the block at one random time of the
+walk, by a rule that depends on the walk's length alone and changes rarely as it
+grows. It holds 4 bits of a hash of the CONTEXT characters that the walk stands at.
+The share of equal digits beyond chance estimates what two texts share of all that
+they hold; likeness is what they share of their mean length. Near texts agree in a
+band of digits with high probability; pairs that meet in a band are verified on
+whole fingerprints.
 
 Defined results: null counts as empty; an empty text's fingerprint is all
 zeros, alike to another empty text only; equal texts have equal fingerprints.
@@ -32,7 +37,7 @@ from pyspark.sql import functions as F
 from . import textkit
 
 U = np.uint64
-BLOCK, TIMES, PLACES, CONTEXT = 2048, 8192, 256, 8
+BLOCK, CUT, TIMES, PLACES, CONTEXT = 2048, 256, 8192, 256, 8
 #: Characters walked at once; a longer text is walked alone.
 SLICE_CHARS = 1 << 20
 
@@ -47,7 +52,7 @@ def _bits() -> np.ndarray:
 
 @functools.cache
 def _records(longest: int) -> list[np.ndarray]:
-    """For each place the lengths at which its time changes: it looks at the last of them below the embedded length."""
+    """For each place the lengths at which its time changes: it looks at the last of them below the walk's length."""
     rng, out = np.random.default_rng(13), []
     for _ in range(PLACES):
         draw, at = np.random.default_rng(int(rng.integers(1 << 62))), [0]
@@ -91,29 +96,36 @@ def _digits(texts: list[np.ndarray]) -> np.ndarray:
             own ^= own >> U(28)
         seen[at] = own
     codes = (textkit.mix(flat) & U(255)).astype(np.int64)
-    blocks = -(-length // BLOCK)
-    owner = np.repeat(np.arange(len(texts)), blocks)
-    nth = np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-    starts = first[owner] + nth * BLOCK
-    sizes = np.minimum(BLOCK, first[owner + 1] - starts)
-    leave = _embed(codes, starts, sizes)
     out = np.zeros((len(texts), PLACES), np.uint8)
     some = np.flatnonzero(length)
     if not len(some):
         return out
-    # embedded length: full blocks count a fixed 2 * BLOCK times, the last one what its walk took
-    base = np.cumsum(blocks) - blocks
-    last = base[some] + blocks[some] - 1
-    took = np.minimum(leave[sizes[last] - 1, last], 2 * BLOCK)
-    total = (blocks[some] - 1) * 2 * BLOCK + np.maximum(took, 1)
-    records = _records(1 << max(20, int(total.max()).bit_length()))
-    time = np.stack([r[np.searchsorted(r, total) - 1] for r in records], axis=1)
-    lane = base[some][:, None] + time // (2 * BLOCK)
+    n_chars = int(first[-1])
+    cut = np.flatnonzero((textkit.mix(seen[:n_chars]) >> U(20)) % U(CUT) == 0)
+    starts = np.union1d(first[:-1][some], cut)
+    sizes = np.diff(starts, append=n_chars)
+    # a block that is too long is cut each BLOCK characters
+    times = -(-sizes // BLOCK)
+    starts = np.repeat(starts, times) + (np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)) * BLOCK
+    sizes = np.diff(starts, append=n_chars)
+    base = np.searchsorted(starts, first[:-1][some])
+    leave = _embed(codes, starts, sizes)
+    took = np.maximum(leave[sizes - 1, np.arange(len(sizes))], 1)
+    many = np.diff(base, append=len(starts))
+    lane = np.empty((len(some), PLACES), np.int64)
+    for k in range(PLACES):
+        # the least of exponential draws, each over its block's length, is a choice in proportion to length
+        draw = (textkit.mix(seen[starts] ^ U((k + 1) * 0xA24BAED4963EE407 % (1 << 64))) >> U(11)).astype(np.float64) / (1 << 53)
+        wait = -np.log1p(-draw) / sizes
+        least = np.repeat(np.minimum.reduceat(wait, base), many)
+        lane[:, k] = np.minimum.reduceat(np.where(wait == least, np.arange(len(wait)), len(wait)), base)
+    records = _records(TIMES)
+    time = np.stack([r[np.searchsorted(r, took[lane[:, k]]) - 1] for k, r in enumerate(records)], axis=1)
     # per lane, times of leaving grow with the step: one sorted array of lane * span + time
     span = TIMES + 1
     keys = (leave.T.astype(np.int64) + np.arange(leave.shape[1])[:, None] * span)[leave.T >= 0]
     begin = np.cumsum(sizes) - sizes
-    step = np.searchsorted(keys, (lane * span + time % (2 * BLOCK)).ravel(), "right").reshape(lane.shape) - begin[lane]
+    step = np.searchsorted(keys, (lane * span + time).ravel(), "right").reshape(lane.shape) - begin[lane]
     step = np.minimum(step, sizes[lane] - 1)
     digit = textkit.mix(seen[starts[lane] + step] ^ (np.arange(PLACES, dtype=U) * U(0xD1342543DE82EF95))) & U(15)
     out[some] = digit
@@ -134,9 +146,10 @@ def fingerprints(texts: list[str]) -> list[str]:
 
 
 def likeness(a: str, b: str) -> float:
-    """Share of equal digits beyond the 1 in 16 of chance, from 0 to 1."""
+    """From the share of equal digits beyond the 1 in 16 of chance what the texts share of their mean length, from 0 to 1."""
     same = int((np.frombuffer(a.encode(), np.uint8) == np.frombuffer(b.encode(), np.uint8)).sum()) / PLACES
-    return max(0.0, (same - 1 / 16) / (1 - 1 / 16)) if a != b else 1.0
+    shared = max(0.0, (same - 1 / 16) / (1 - 1 / 16))
+    return 2 * shared / (1 + shared) if a != b else 1.0
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
@@ -150,7 +163,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fingerprint string")
 
 
-def near_pairs(prints: DataFrame, least: float = 0.8, bands: int = 48, width: int = 8, small: int = 24, deeper: int = 4) -> DataFrame:
+def near_pairs(prints: DataFrame, least: float = 0.8, bands: int = 192, width: int = 8, small: int = 24, deeper: int = 4) -> DataFrame:
     """(a, b, likeness) of distinct fingerprints (a < b) that share one of ``bands`` samples of digits and are alike by ``least``.
 
     Equal fingerprints are one class beforehand, so copies give no pairs. Fingerprints that share a sample of ``width`` digits are

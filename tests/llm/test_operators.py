@@ -161,6 +161,15 @@ def test_fingerprints_follow_edits():
     assert edit_fingerprint.likeness(a, b) > 0.8 > 0.65 > edit_fingerprint.likeness(a, half) > 0.35 > 0.15 > edit_fingerprint.likeness(a, c)
 
 
+def test_fingerprints_follow_insertions_in_front():
+    rng = random.Random(6)
+    for chars in (30, 100, 500):
+        for _ in range(4):
+            text = prose(rng, 4000)[:20_000]
+            a, b = edit_fingerprint.fingerprints([text, prose(rng, 200)[:chars] + text])
+            assert edit_fingerprint.likeness(a, b) > 0.9, chars
+
+
 def test_near_pairs(spark):
     rng = random.Random(4)
     base = [prose(rng, 300) for _ in range(12)]
