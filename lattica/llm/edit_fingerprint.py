@@ -35,11 +35,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit
+from .near_dup import cells
 
 U = np.uint64
 BLOCK, CUT, TIMES, PLACES, CONTEXT = 2048, 256, 8192, 256, 8
 #: Characters walked at once; a longer text is walked alone.
 SLICE_CHARS = 1 << 20
+#: Fingerprints of a block of a large band, on average.
+BAND_BLOCK = 512
 
 
 @functools.cache
@@ -163,39 +166,52 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fingerprint string")
 
 
-def near_pairs(prints: DataFrame, least: float = 0.8, bands: int = 192, width: int = 8, small: int = 24, deeper: int = 4) -> DataFrame:
-    """(a, b, likeness) of distinct fingerprints (a < b) that share one of ``bands`` samples of digits and are alike by ``least``.
+def _band_keys(batches: Iterator[pa.RecordBatch], samples: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        digits = np.frombuffer("".join(batch.column("fingerprint").to_pylist()).encode(), np.uint8).reshape(-1, PLACES)
+        keys = np.empty((len(digits), len(samples)), U)
+        for i, sample in enumerate(samples):
+            key = np.full(len(digits), i + 1, U)
+            for place in sample:
+                key = textkit.mix(key * U(257) + digits[:, place])
+            keys[:, i] = key
+        row = pa.array(np.repeat(np.arange(len(digits)), len(samples)))
+        yield pa.record_batch([batch.column("fingerprint").take(row), pa.array(keys.ravel().astype(np.int64))], ["fingerprint", "key"])
+
+
+def _alike(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """The alike pairs of each cell of two blocks, or of one block's own, from rows sorted by (key, i, j)."""
+    for cell in cells(batches):
+        names, block = cell.column("fingerprint").to_pylist(), cell.column("block").to_numpy()
+        digits = np.frombuffer("".join(names).encode(), np.uint8).reshape(-1, PLACES)
+        crossing = cell.column("i")[0] != cell.column("j")[0]
+        for k in range(len(names) - 1):
+            at = np.arange(k + 1, len(names))
+            at = at[block[at] != block[k]] if crossing else at
+            # no pair whose share of equal digits is below ``least`` / 2 is as alike as that
+            at = at[(digits[at] == digits[k]).mean(axis=1) >= least / 2]
+            out = [(min(names[k], names[x]), max(names[k], names[x]), s) for x in at.tolist() if (s := likeness(names[k], names[x])) >= least]
+            if out:
+                yield pa.record_batch([pa.array(c) for c in zip(*out, strict=True)], ["a", "b", "likeness"])
+
+
+def near_pairs(prints: DataFrame, least: float = 0.8, bands: int = 192, width: int = 8) -> DataFrame:
+    """(a, b, likeness) of all distinct fingerprints (a < b) that share one of ``bands`` samples of ``width`` digits and are alike by ``least``.
 
-    Equal fingerprints are one class beforehand, so copies give no pairs. Fingerprints that share a sample of ``width`` digits are
-    all compared if they are few. Otherwise each is compared with one of them, which links a group of near copies, and the group is
-    cut by a longer sample, ``deeper`` times at most. All pairs returned are verified on whole fingerprints.
+    Equal fingerprints are one class beforehand, so copies give no pairs. All pairs that share a sample are compared on whole
+    fingerprints; the fingerprints of a large band are cut into blocks at random and each pair of blocks is compared in one task.
     """
     classes = prints.select("fingerprint").filter("fingerprint is not null").distinct()
     rng = np.random.default_rng(17)
-    samples = [rng.choice(PLACES, width + deeper, replace=False).tolist() for _ in range(bands)]
-    found = []
-    rows = None
-    for extra in range(deeper + 1):
-        keys = F.array(*[F.struct(F.lit(i).alias("i"), F.xxhash64(F.lit(i), *[F.substring("fingerprint", p + 1, 1) for p in s[: width + extra]]).alias("k")) for i, s in enumerate(samples)])
-        reached = classes.select("fingerprint", F.explode(keys).alias("band")).select("fingerprint", "band.i", "band.k")
-        if rows is not None:
-            reached = reached.join(rows.filter(F.col("n") > small).select("fingerprint", "i"), ["fingerprint", "i"])
-        sizes = reached.groupBy("i", "k").agg(F.count("*").alias("n"), F.min_by("fingerprint", F.xxhash64("fingerprint", "k")).alias("pivot")).filter("n > 1")
-        rows = reached.join(sizes, ["i", "k"])
-        few = rows.filter(F.col("n") <= small).groupBy("i", "k").agg(F.array_sort(F.collect_set("fingerprint")).alias("m"))
-        found.append(few.select(F.explode(F.expr("flatten(transform(m, (x, i) -> transform(slice(m, i + 2, size(m)), y -> struct(x as a, y as b))))")).alias("p")).select("p.a", "p.b"))
-        found.append(rows.filter((F.col("n") > small) & (F.col("fingerprint") != F.col("pivot"))).select(F.least("fingerprint", "pivot").alias("a"), F.greatest("fingerprint", "pivot").alias("b")))
-    pairs = found[0]
-    for more in found[1:]:
-        pairs = pairs.union(more)
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [(a, b, s) for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True) if (s := likeness(a, b)) >= least]
-            if out:
-                yield pa.record_batch([pa.array(c) for c in zip(*out, strict=True)], ["a", "b", "likeness"])
-
-    return pairs.distinct().mapInArrow(verify, "a string, b string, likeness double")
+    samples = np.stack([rng.choice(PLACES, width, replace=False) for _ in range(bands)])
+    reached = classes.mapInArrow(lambda it: _band_keys(it, samples), "fingerprint string, key long")
+    sizes = reached.groupBy("key").agg(F.expr(f"cast(ceil(count(*) / {BAND_BLOCK}) as int)").alias("blocks"), F.count("*").alias("n")).filter("n > 1").select("key", "blocks")
+    rows = reached.join(sizes, "key").withColumn("block", F.expr("cast(pmod(xxhash64(fingerprint, key), blocks) as int)"))
+    met = F.expr("transform(sequence(0, blocks - 1), x -> struct(least(x, block) as i, greatest(x, block) as j))")
+    dealt = rows.select("key", "fingerprint", "block", F.explode(met).alias("c")).select("key", "c.i", "c.j", "fingerprint", "block").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return dealt.mapInArrow(lambda it: _alike(it, least), "a string, b string, likeness double").distinct()
 
 
 def _edited(text: str, following: str) -> str:

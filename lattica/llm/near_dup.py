@@ -89,7 +89,7 @@ def _nodes(batches: Iterator[pa.RecordBatch], paths: list[list[int]]) -> Iterato
         yield pa.record_batch([pa.array(np.tile(rep, len(paths))), pa.array(np.concatenate(keys).astype(np.int64))], ["rep", "key"])
 
 
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """Rows sorted by (key, i, j), as one table for each of these."""
     held: list[pa.RecordBatch] = []
     last = None
@@ -159,7 +159,7 @@ def compare_cell(rep: np.ndarray, block: np.ndarray, label: np.ndarray, sig: np.
 
 def _compared(batches: Iterator[pa.RecordBatch], least: int, percent: int) -> Iterator[pa.RecordBatch]:
     """Rows (key, i, j, block, rep, component, s[, set]) sorted by cell: without sets the rows that have a likely partner, with them links."""
-    for cell in _cells(batches):
+    for cell in cells(batches):
         rep, block, label = (cell.column(c).to_numpy() for c in ("rep", "block", "component"))
         sig = np.frombuffer(b"".join(cell.column("s").to_pylist()), "<u2").reshape(-1, HALF)
         if "set" not in cell.column_names:
@@ -238,12 +238,12 @@ def _blockwise(docs: DataFrame, large: DataFrame, half: DataFrame, width: int, l
     nodes = work.table(nodes.select("key", F.col("main.component").alias("most"), F.expr(blocks.format(n="(n - main.n)", w="(w - main.w)")).alias("other"), F.expr(blocks.format(n="main.n", w="main.w")).alias("own")), "open")
     mine = large.join(nodes, "key").withColumn("block", F.expr("cast(if(component = most, other + pmod(xxhash64(rep, key), own), pmod(xxhash64(rep, key), other)) as int)"))
     met = F.expr("transform(sequence(0, if(component = most, other, other + own) - 1), x -> struct(least(x, block) as i, greatest(x, block) as j))")
-    cells = work.table(mine.join(half, "rep").select("key", "rep", "component", "block", "s", F.explode(met).alias("c")).select("key", "c.i", "c.j", "block", "rep", "component", "s"), "cells")
+    placed = work.table(mine.join(half, "rep").select("key", "rep", "component", "block", "s", F.explode(met).alias("c")).select("key", "c.i", "c.j", "block", "rep", "component", "s"), "cells")
 
     def dealt(rows: DataFrame) -> DataFrame:
         return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
-    likely = work.table(dealt(cells).mapInArrow(lambda it: _compared(it, least, percent), "key long, i int, j int, block int, rep long, component long"), "likely")
+    likely = work.table(dealt(placed).mapInArrow(lambda it: _compared(it, least, percent), "key long, i int, j int, block int, rep long, component long"), "likely")
     sets = _sets_of(docs, work.table(likely.select(F.col("rep").alias("doc_id")).distinct(), "likely-ids"), width, work, "likely-sets")
     one = sets.withColumnRenamed("id", "rep")
     links = work.table(dealt(likely.join(half, "rep").join(one, "rep")).mapInArrow(lambda it: _compared(it, least, percent), "a long, b long").distinct(), "block-links")

@@ -181,6 +181,18 @@ def test_near_pairs(spark):
     assert len(set(pairs)) >= 9 and all(a == b for a, b in pairs)
 
 
+def test_near_pairs_in_large_bands(spark, monkeypatch):
+    """300 fingerprints with 170 digits in common and no pair alike by 0.8, but 20 planted ones: bands within the common digits hold all."""
+    monkeypatch.setattr(edit_fingerprint, "BAND_BLOCK", 100)
+    rng = random.Random(8)
+    common = "".join(rng.choice("0123456789abcdef") for _ in range(170))
+    prints = [common + "".join(rng.choice("0123456789abcdef") for _ in range(86)) for _ in range(280)]
+    prints += [p[:170] + p[170:220] + "".join(rng.choice("0123456789abcdef") for _ in range(36)) for p in prints[:20]]
+    want = {(a, b) for i, x in enumerate(prints) for y in prints[i + 1 :] for a, b in [(min(x, y), max(x, y))] if edit_fingerprint.likeness(a, b) >= 0.88}
+    got = edit_fingerprint.near_pairs(spark.createDataFrame([(p,) for p in prints], "fingerprint string"), 0.88).collect()
+    assert len(want) >= 20 and sorted((r["a"], r["b"]) for r in got) == sorted(want)
+
+
 def _spans(df, name, kinds, rows):
     got = by_id(df)
     for i, t, *_ in rows:
