@@ -191,10 +191,22 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
         yield pa.record_batch([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["id", "set"])
 
 
+def missed(depth: int, trees: int, similarity: float) -> float:
+    """Probability that a pair of so similar sets meets in no tree. All trees choose from the same COORDINATES, so they aren't independent."""
+    total = 0.0
+    for same in range(COORDINATES + 1):
+        meet = math.comb(same, depth) / math.comb(COORDINATES, depth)
+        total += math.comb(COORDINATES, same) * similarity**same * (1 - similarity) ** (COORDINATES - same) * (1 - meet) ** trees
+    return total
+
+
 def plan(n_sets: int, similarity: float, miss: float) -> tuple[int, int]:
     """(depth, trees) for so many distinct sets. Unrelated sets agree in a minwise token about 3 times in 100."""
     depth = max(1, math.ceil(math.log(max(2, n_sets)) / math.log(1 / 0.03)))
-    return depth, math.ceil(math.log(miss) / math.log(1 - similarity**depth))
+    trees = 1
+    while missed(depth, trees, similarity) > miss:
+        trees += 1
+    return depth, trees
 
 
 def connected(spark: SparkSession, links: DataFrame, work: Workspace, name: str) -> DataFrame:

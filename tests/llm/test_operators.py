@@ -89,6 +89,17 @@ def test_near_duplicates_among_documents_that_share_boilerplate(spark):
     assert [got[d]["component_id"] for d in range(400)] == [d - d % 2 if d < 120 else d for d in range(400)]
 
 
+def test_trees_miss_no_more_than_promised():
+    """The trees' own coordinates against signatures of pairs of 0.8, drawn at random."""
+    for n_sets in (30_000, 1_000_000):
+        depth, trees = near_dup.plan(n_sets, 0.8, 1e-4)
+        agree = np.random.default_rng(3).random((400_000, near_dup.COORDINATES)) < 0.8
+        met = np.zeros(len(agree), bool)
+        for path in near_dup.tree_paths(depth, trees):
+            met |= agree[:, path].all(axis=1)
+        assert (~met).mean() < 1.5e-4
+
+
 def test_near_duplicates_of_repeated_and_null_ids(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (None, None), (2, "q")]
     got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=2).collect()
