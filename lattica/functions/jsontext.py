@@ -2,7 +2,8 @@
 
 Wide integers are quoted, bytes are base64, NaN and infinities are strings, a
 map is an array of [key, value] pairs, an absent message field is left out, a union is
-an object of its one branch. Reading is strict: unknown or missing fields,
+an object of its one branch. Writing raises where a value has no text: a required
+field, an item or a map's value that is missing, a union's unknown branch. Reading is strict: unknown or missing fields,
 other shapes and values that don't fit raise.
 """
 
@@ -19,7 +20,11 @@ _WIDE = ("int64", "uint64", "int128", "uint128")
 
 def _quoted(text: Column) -> Column:
     inner = F.to_json(F.struct(text.alias("x")))
-    return F.substring(inner, F.lit(6), F.length(inner) - 6)
+    return F.when(text.isNotNull(), F.substring(inner, F.lit(6), F.length(inner) - 6))
+
+
+def _present(text: Column, missing: str) -> Column:
+    return F.coalesce(text, F.raise_error(F.lit(missing)).cast("string"))
 
 
 def _written(t: T.Type, x: Column) -> Column:
@@ -42,12 +47,16 @@ def _written(t: T.Type, x: Column) -> Column:
         case T.Enum():
             return _written(T.Scalar(t.base), x)
         case T.Array(element):
-            return F.concat(F.lit("["), F.array_join(F.transform(x, lambda e: _written(element, e)), ","), F.lit("]"))
+            return F.concat(F.lit("["), F.array_join(F.transform(x, lambda e: _present(_written(element, e), "an item is missing")), ","), F.lit("]"))
         case T.Map(key, value):
-            pairs = F.transform(F.map_entries(x), lambda e: F.concat(F.lit("["), _written(key, e["key"]), F.lit(","), _written(value, e["value"]), F.lit("]")))
+            pairs = F.transform(F.map_entries(x), lambda e: F.concat(F.lit("["), _written(key, e["key"]), F.lit(","), _present(_written(value, e["value"]), "a map's value is missing"), F.lit("]")))
             return F.concat(F.lit("["), F.array_join(pairs, ","), F.lit("]"))
-    parts = [F.concat(_quoted(F.lit(f.name)), F.lit(":"), _written(f.type, x[f.name])) for f in t.fields]
-    return F.when(x.isNotNull(), F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")))
+    if isinstance(t, T.Struct):
+        parts = [F.concat(_quoted(F.lit(f.name)), F.lit(":"), _present(_written(f.type, x[f.name]), f"{f.name} is missing")) for f in t.fields]
+    else:
+        parts = [F.concat(_quoted(F.lit(f.name)), F.lit(":"), _written(f.type, x[f.name])) for f in t.fields]
+    body = _present(F.coalesce(*parts), "unknown branch") if isinstance(t, T.Union) else F.concat_ws(",", *parts)
+    return F.when(x.isNotNull(), F.concat(F.lit("{"), body, F.lit("}")))
 
 
 def to_json(v: Typed) -> Column:

@@ -202,13 +202,14 @@ def tree_nodes(spark, sf_dir):
     return rows.groupBy(F.col("order").alias("id")).agg(F.count("*").alias("nodes"), F.count("atom").alias("atoms"), F.max("id").alias("last_id"), F.max_by("parent", "id").alias("last_parent"))
 
 
-@query(_DOCS + """SELECT id, '{"key":"' || id || '","cust":"' || cust || '","status":"' || status || '"' || coalesce(',"lines":[' || array_to_string(list_transform(lines, lambda x: '{"n":' || x.n || ',"part":"' || x.part || '","supp":"' || x.supp || '"}'), ',') || ']', '') || '}' AS json FROM docs""")
+@query(_DOCS + """SELECT id, '{"key":"' || id || '","uid":"00000000-0000-0000-0000-' || lpad(id::VARCHAR, 12, '0') || '"' || coalesce(',"status":"' || nullif(status, 'P') || '"', '') || ',"total":' || total || coalesce(',"lines":[' || array_to_string(list_transform(lines, lambda x: '{"n":' || x.n || ',"part":"' || x.part || '","qty":' || x.qty || '}'), ',') || ']', '') || '}' AS json FROM docs""")
 def json_write(spark, sf_dir):
-    """Without the floats, whose shortest text the two engines write differently."""
-    line = Struct("Line", LINE.fields[:3])
-    t = Message("Order", (*ORDER.fields[:3], Field("lines", Array(line), 5)))
-    lines = F.transform(F.col("doc.lines"), lambda x: F.struct(x["n"].alias("n"), x["part"].alias("part"), x["supp"].alias("supp")))
-    v = Typed(F.struct("doc.key", "doc.cust", "doc.status", lines.alias("lines")), t)
+    """Messages with absent text and lines, a uuid, wide integers and floats; amounts have few digits, which every engine writes alike."""
+    line = Struct("Line", (LINE.fields[0], LINE.fields[1], LINE.fields[3]))
+    t = Message("Order", (ORDER.fields[0], Field("uid", Scalar("uuid"), 2), Field("status", text, 3), Field("total", real, 4), Field("lines", Array(line), 5)))
+    lines = F.transform(F.col("doc.lines"), lambda x: F.struct(x["n"].alias("n"), x["part"].alias("part"), x["qty"].alias("qty")))
+    uid = F.concat(F.lit("00000000-0000-0000-0000-"), F.lpad(F.col("id").cast("string"), 12, "0"))
+    v = Typed(F.struct("doc.key", uid.alias("uid"), F.nullif(F.col("doc.status"), F.lit("P")).alias("status"), "doc.total", lines.alias("lines")), t)
     return order_docs(spark, sf_dir).select("id", jsontext.to_json(v).alias("json"))
 
 

@@ -121,14 +121,26 @@ def test_unions_enums_and_rendering(spark):
     assert column(df, v.extract("$.flag")) == [1, None]
     assert column(df, v.extract('$.tags."q\\""[1]')) == [2, None]
     assert column(df, v.valid()) == [1, 1]
-    text = column(df, jsontext.to_json(v))
-    assert '"big":"18446744073709551615"' in text[0] and '"tags":[["q\\"",[1,2]]]' in text[0] and text[1].startswith('{"shape":{}')
+    text = column(df.filter("id = 1"), jsontext.to_json(v))
+    assert '"big":"18446744073709551615"' in text[0] and '"tags":[["q\\"",[1,2]]]' in text[0]
+    with pytest.raises(Exception, match="unknown branch"):
+        column(df.filter("id = 2"), jsontext.to_json(v))
     back = jsontext.from_json(F.lit(text[0]), WIDE)
     assert df.filter("id = 1").select(jsontext.to_json(back)).first()[0] == text[0]
     round_trip = wire.read_wire(wire.write_wire(df.filter("id = 1"), "v", WIDE), "wire", WIDE, "w", strict=True)
     assert round_trip.select((jsontext.to_json(Typed(F.col("w"), WIDE)) == jsontext.to_json(v))).first()[0]
 
 
+def test_json_of_what_is_absent(spark):
+    """Absent text, uuid and wide numbers leave their field out; a required field, an item or a map's value can't be absent."""
+    t = T.Message("M", (T.Field("id", S("uuid"), 1), T.Field("name", S("string"), 2), T.Field("n", S("uint64"), 3), T.Field("x", S("float64"), 4)))
+    rows = spark.createDataFrame([(1, (None, None, None, None)), (2, (None, "q\"\n", None, 1.5)), (3, None)], T.T.StructType([T.T.StructField("id", T.T.LongType()), T.T.StructField("v", T.to_spark(t))]))
+    assert column(rows, jsontext.to_json(Typed(F.col("v"), t))) == ["{}", '{"name":"q\\"\\n","x":1.5}', None]
+    for kind, value in ((T.Array(S("string")), F.array(F.lit("a"), F.lit(None))), (T.Map(S("string"), S("string")), F.create_map(F.lit("a"), F.lit(None).cast("string"))), (T.Struct("P", (T.Field("a", S("string")),)), F.struct(F.lit(None).cast("string").alias("a")))):
+        with pytest.raises(Exception, match="missing"):
+            spark.range(1).select(jsontext.to_json(Typed(value, kind))).collect()
+
+
 @pytest.mark.parametrize("bad", ['{"name":"a","x":1}', '{"home":{}}', '{"name":1}', '{"name":"a","name":"b"}', "[1]", "{"])
 def test_strict_json(spark, bad):
     with pytest.raises(Exception):  # noqa: B017
