@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +33,27 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(32))
 
 
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Passes a task's batches on; what it allocated goes back to the system when it ends, as workers stay for later tasks."""
+    try:
+        yield from batches
+    finally:
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+
+def portions(batch: pa.RecordBatch, max_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about max_bytes of text, in order; a longer text is a slice of its own."""
+    size = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(size, dtype=np.int64)
+    lo = 0
+    while lo < len(ends):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + max_bytes, "right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 class _Powers:
     def __init__(self):
         self.up = self.down = np.ones(1, U)
