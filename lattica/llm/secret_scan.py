@@ -12,7 +12,9 @@ and Benjamini-Hochberg with weights by length controls the share of false
 finds among a document's runs. Runs that touch a base span add nothing.
 
 Defined results: null counts as empty; an empty text has no spans; every row
-gives one row, repeated ones too; other columns are ignored.
+gives one row, repeated ones and null ids too; runs with equal p-values are found in the
+order of the text; texts of any length are read whole, in time that grows with their length
+and little more with their matches; an empty table gives no rows; other columns are ignored, whatever they are called.
 """
 
 from __future__ import annotations
@@ -129,8 +131,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
         "runs": spans.find(t, RUN),
     })
     out = out.withColumn("base", spans.labelled([(k, F.col(k)) for k in BASE_KINDS]))
-    free = F.filter("runs", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    out = out.withColumn("runs", free)
+    out = out.withColumn("runs", spans.free_of(F.col("runs"), F.col("base")))
     for step in (_coded, _numbered, _summed, _scored, _judged):
         out = out.withColumn("runs", F.transform("runs", step))
     out = out.withColumn("mean", _sum(F.col("runs"), lambda x: x["n"]) / F.greatest(F.size("runs"), F.lit(1)))
