@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans import types as T
@@ -380,3 +380,9 @@ def _error(t: T.Type, x: Column, where: Column, depth: int = 0) -> Column:
             known = x["disc"].isin(*[f.tag for f in fields]) if fields else F.lit(False)
             return F.coalesce(says(x["disc"] == 0, "discriminator 0"), says(known & (active != 1), "not one active branch"), *[says((x["disc"] == f.tag) & x[f.name].isNull(), f"{f.name} is missing") for f in fields], *[_present(x[f.name], _error(f.type, x[f.name], F.concat(where, F.lit("." + f.name)), depth + 1)) for f in fields])
     return none
+
+
+def checked(df: DataFrame, value: Typed, reason: str = "reason") -> tuple[DataFrame, DataFrame]:
+    """The rows whose value is valid or null, and the others with ``reason``: a check constraint that keeps what it refuses."""
+    error = value.error()
+    return df.filter(error.isNull()), df.filter(error.isNotNull()).withColumn(reason, error)

@@ -7,13 +7,15 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let, sums_before
 from ..functions.jsontext import to_json
 from ..functions.values import Typed, rendered
 from ..plans import types as T
 from ..plans.paths import parse
 
-NODE = "struct<key:string,value:string,atom:string,kind:string,type:string,fullkey:string,path:string,depth:int>"
+NODE = "struct<key:string,value:string,atom:string,kind:string,type:string,fullkey:string,path:string,up:int>"
 _EMPTY = f"array<{NODE}>"
+_SIBLINGS = f"array<{_EMPTY}>"
 
 
 def _text(t: T.Type, x: Column) -> Column:
@@ -22,25 +24,38 @@ def _text(t: T.Type, x: Column) -> Column:
     return to_json(Typed(x, t)) if T.is_container(t) else rendered(t, x).cast("string")
 
 
-def _node(t: T.Type, x: Column, key: Column, full: Column, path: Column, depth: int) -> Column:
+def _node(t: T.Type, x: Column, key: Column, full: Column, path: Column) -> Column:
     atom = F.lit(None).cast("string") if T.is_container(t) else _text(t, x)
-    return F.struct(key.cast("string").alias("key"), _text(t, x).alias("value"), atom.alias("atom"), F.lit(T.kind_of(t)).alias("kind"), F.lit(T.describe(t)).alias("type"), full.alias("fullkey"), path.alias("path"), F.lit(depth).alias("depth"))
+    return F.struct(key.cast("string").alias("key"), _text(t, x).alias("value"), atom.alias("atom"), F.lit(T.kind_of(t)).alias("kind"), F.lit(T.describe(t)).alias("type"), full.alias("fullkey"), path.alias("path"), F.lit(None).cast("int").alias("up"))
 
 
-def _below(t: T.Type, x: Column, full: Column, depth: int, levels: int) -> Column:
+def _in_line(siblings: Column, linked: bool) -> Column:
+    """Lists of nodes one after the other; the first node of each learns how far before it their parent stands."""
+    if not linked:
+        return F.flatten(siblings)
+
+    def first(nodes: Column, before: Column) -> Column:
+        own = F.transform(F.slice(nodes, 1, 1), lambda n: n.withField("up", before + 1))
+        return F.concat(own, F.slice(nodes, F.lit(2), F.size(nodes)))
+
+    return let(siblings, lambda s: F.flatten(F.zip_with(s, sums_before(F.transform(s, F.size)), first)))
+
+
+def _below(t: T.Type, x: Column, full: Column, levels: int) -> Column:
     """Nodes of the children, each followed by its own if levels remain."""
     none = F.array().cast(_EMPTY)
+    linked = levels > 1
 
     def walk(u: T.Type, y: Column, key: Column, at: Column) -> Column:
-        own = F.array(_node(u, y, key, at, full, depth))
-        return F.when(y.isNotNull(), F.concat(own, _below(u, y, at, depth + 1, levels - 1)) if levels > 1 and T.is_container(u) else own).otherwise(none)
+        own = F.array(_node(u, y, key, at, full))
+        return F.when(y.isNotNull(), F.concat(own, _below(u, y, at, levels - 1)) if linked and T.is_container(u) else own).otherwise(none)
 
     match t:
         case T.Struct() | T.Message() | T.Union():
             parts = [walk(f.type, x[f.name], F.lit(f.name), F.concat(full, F.lit("." + json.dumps(f.name)))) for f in t.fields]
-            return F.concat(none, *parts)
+            return _in_line(F.array(*parts).cast(_SIBLINGS), linked)
         case T.Array(element):
-            return F.flatten(F.transform(x, lambda e, i: walk(element, e, i, F.concat(full, F.lit("["), i.cast("string"), F.lit("]")))))
+            return _in_line(F.transform(x, lambda e, i: walk(element, e, i, F.concat(full, F.lit("["), i.cast("string"), F.lit("]")))), linked)
         case T.Map(key, value):
 
             def entry(e: Column) -> Column:
@@ -54,12 +69,12 @@ def _below(t: T.Type, x: Column, full: Column, depth: int, levels: int) -> Colum
                     at = F.concat(full, F.lit("["), k.cast("string"), F.lit("]"))
                 return walk(value, e["value"], k, at)
 
-            return F.flatten(F.transform(F.map_entries(x), entry))
+            return _in_line(F.transform(F.map_entries(x), entry), linked)
         case T.Bytes():
             size = F.octet_length(x)
             byte = T.Scalar("byte")
             at = F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
-            return F.flatten(F.transform(at, lambda i: walk(byte, F.conv(F.hex(F.substring(x, i + 1, F.lit(1))), 16, 10).cast("smallint"), i, F.concat(full, F.lit("["), i.cast("string"), F.lit("]")))))
+            return _in_line(F.transform(at, lambda i: walk(byte, F.conv(F.hex(F.substring(x, i + 1, F.lit(1))), 16, 10).cast("smallint"), i, F.concat(full, F.lit("["), i.cast("string"), F.lit("]")))), linked)
     return none
 
 
@@ -70,21 +85,18 @@ def _rows(df: DataFrame, value: Typed, path: str, keep: list[str], levels: int)
         kinds = ["string"] * 5 + ["int", "int", "string", "string"]
         return df.filter("false").select(*keep, *[F.lit(None).cast(k).alias(n) for n, k in zip(names, kinds, strict=True)])
     full = F.lit(path if parse(path) else "$")
-    own = _node(at.type, at.column, F.lit(None), full, full, 0)
+    own = _node(at.type, at.column, F.lit(None), full, full)
     whole = levels > 1
     if not T.is_container(at.type):
         nodes = F.array(own)
     elif whole:
-        nodes = F.concat(F.array(own), _below(at.type, at.column, full, 1, levels))
+        nodes = F.concat(F.array(own), _below(at.type, at.column, full, levels))
     else:
-        nodes = _below(at.type, at.column, full, 1, 1)
+        nodes = _below(at.type, at.column, full, 1)
     nodes = F.when(at.column.isNotNull(), nodes).otherwise(F.array().cast(_EMPTY))
-    out = df.select(*keep, nodes.alias("_nodes")).select(*keep, "_nodes", F.posexplode("_nodes").alias("_at", "_n"))
+    out = df.select(*keep, F.posexplode(nodes).alias("_at", "_n"))
     first = 0 if whole or not T.is_container(at.type) else 1
-    # a node's parent is the last one before it that is a level higher
-    before = F.filter(F.transform(F.slice("_nodes", F.lit(1), F.col("_at")), lambda n, i: F.when(n["depth"] == F.col("_n.depth") - 1, i)), lambda i: i.isNotNull())
-    parent = F.when((F.col("_n.depth") > 0) & F.lit(whole), F.array_max(before)).cast("int")
-    return out.select(*keep, *[F.col(f"_n.{n}").alias(n) for n in names[:5]], (F.col("_at") + first).alias("id"), parent.alias("parent"), F.col("_n.fullkey").alias("fullkey"), F.col("_n.path").alias("path"))
+    return out.select(*keep, *[F.col(f"_n.{n}").alias(n) for n in names[:5]], (F.col("_at") + first).alias("id"), (F.col("_at") - F.col("_n.up")).alias("parent"), F.col("_n.fullkey").alias("fullkey"), F.col("_n.path").alias("path"))
 
 
 def each(df: DataFrame, value: Typed, path: str = "$", keep: list[str] | None = None) -> DataFrame:

@@ -20,7 +20,8 @@ required says so in its field's metadata, and ``Typed.error`` finds what is miss
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
+from dataclasses import dataclass, field, fields, is_dataclass
 
 from pyspark.sql import types as T
 
@@ -160,6 +161,31 @@ def describe(t: Type) -> str:
     return t.name
 
 
+def spec_of(t: Type) -> str:
+    """A declaration as JSON text, the same for equal declarations."""
+
+    def plain(x):
+        if is_dataclass(x):
+            return {"is": type(x).__name__, **{f.name: plain(getattr(x, f.name)) for f in fields(x)}}
+        return [plain(y) for y in x] if isinstance(x, tuple) else x
+
+    return json.dumps(plain(t), separators=(",", ":"))
+
+
+def from_spec(text: str) -> Type:
+    """The declaration that ``spec_of`` wrote; checked like any other."""
+
+    def built(x):
+        if isinstance(x, dict):
+            kinds = {c.__name__: c for c in (Scalar, Bytes, Array, Map, Enum, Field, Struct, Message, Union)}
+            if x.get("is") not in kinds:
+                raise SchemaError("not a declaration")
+            return kinds[x["is"]](**{k: built(v) for k, v in x.items() if k != "is"})
+        return tuple(built(y) for y in x) if isinstance(x, list) else x
+
+    return built(json.loads(text))
+
+
 def kind_of(t: Type) -> str:
     """The type's broad kind, as ``kind`` gives it."""
     match t:

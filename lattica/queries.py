@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from .functions import dynamic, jsontext
 from .functions.method_id import method_id
-from .functions.values import Typed
-from .operators import children, grouping
-from .plans.types import Array, Enum, Field, Map, Message, Scalar, Struct, Union, to_spark
+from .functions.values import Typed, checked
+from .operators import children, grouping, joins
+from .plans.types import Array, Enum, Field, Map, Message, Scalar, Struct, Union, spec_of, to_spark
 from .sources import frames, wire
 from .streaming import calls, events
 
@@ -202,6 +202,23 @@ def tree_nodes(spark, sf_dir):
     return rows.groupBy(F.col("order").alias("id")).agg(F.count("*").alias("nodes"), F.count("atom").alias("atoms"), F.max("id").alias("last_id"), F.max_by("parent", "id").alias("last_parent"))
 
 
+_NODES = """, o AS (SELECT id, lines, unnest(range(1, len(lines) + 1)) AS i FROM docs WHERE lines IS NOT NULL), c(k, name) AS (VALUES (1, 'n'), (2, 'part'), (3, 'supp'), (4, 'qty'))
+SELECT id, 0 AS node, NULL::INT AS parent, NULL AS key, '$' AS fullkey, NULL AS atom FROM docs
+UNION ALL SELECT id, 1, 0, 'key', '$."key"', id::VARCHAR FROM docs UNION ALL SELECT id, 2, 0, 'cust', '$."cust"', cust::VARCHAR FROM docs
+UNION ALL SELECT id, 3, 0, 'status', '$."status"', status FROM docs UNION ALL SELECT id, 4, 0, 'total', '$."total"', total::VARCHAR FROM docs
+UNION ALL SELECT id, 5, 0, 'lines', '$."lines"', NULL FROM docs WHERE lines IS NOT NULL
+UNION ALL SELECT id, (1 + 5 * i)::INT, 5, (i - 1)::VARCHAR, '$."lines"[' || (i - 1) || ']', NULL FROM o
+UNION ALL SELECT id, (1 + 5 * i + k)::INT, (1 + 5 * i)::INT, name, '$."lines"[' || (i - 1) || ']."' || name || '"', CASE k WHEN 1 THEN lines[i].n::VARCHAR WHEN 2 THEN lines[i].part::VARCHAR WHEN 3 THEN lines[i].supp::VARCHAR ELSE lines[i].qty::VARCHAR END FROM o, c
+"""
+
+
+@query(_DOCS.rstrip() + _NODES)
+def tree_rows(spark, sf_dir):
+    """Every node of every order, with its parent."""
+    rows = children.tree(order_docs(spark, sf_dir).withColumnRenamed("id", "order"), doc(), "$", ["order"])
+    return rows.select(F.col("order").alias("id"), F.col("id").alias("node"), "parent", "key", "fullkey", "atom")
+
+
 @query(_DOCS + """SELECT id, '{"key":"' || id || '","uid":"00000000-0000-0000-0000-' || lpad(id::VARCHAR, 12, '0') || '"' || coalesce(',"status":"' || nullif(status, 'P') || '"', '') || ',"total":' || total || coalesce(',"lines":[' || array_to_string(list_transform(lines, lambda x: '{"n":' || x.n || ',"part":"' || x.part || '","qty":' || x.qty || '}'), ',') || ']', '') || '}' AS json FROM docs""")
 def json_write(spark, sf_dir):
     """Messages with absent text and lines, a uuid, wide integers and floats; amounts have few digits, which every engine writes alike."""
@@ -257,12 +274,18 @@ def any_dispatch(spark, sf_dir):
     return rows.groupBy(dynamic.any_name(F.col("any")).alias("name")).agg(F.count("*").alias("n"), F.sum(F.octet_length(dynamic.any_value(F.col("any"), "click"))).cast("long").alias("click_bytes"))
 
 
-@query()
+_HALF = "round_even(x::DOUBLE / pow(2, floor(log2(abs(x::DOUBLE))) - 7), 0) * pow(2, floor(log2(abs(x::DOUBLE))) - 7)"
+
+
+@query(f"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e, list_transform(embedding, lambda x: CASE WHEN x = 0 THEN 0.0 ELSE {_HALF} END) AS h FROM embeddings)
+SELECT vec_id, round(list_sum(list_transform(e, lambda x: x * x)), 6) AS "full", round(list_sum(list_transform(h, lambda x: x * x)), 6) AS rounded, h[1]::DOUBLE AS first, h[-1]::DOUBLE AS last FROM v""")
 def vectors_bfloat16(spark, sf_dir):
-    """Embeddings rounded to bfloat16, and their squared lengths before and after."""
+    """Embeddings rounded to bfloat16: squared lengths before and after, and the outer elements."""
     e = F.col("embedding")
-    half = F.transform(e, dynamic.bfloat16)
-    return table(spark, sf_dir, "embeddings").select("vec_id", dynamic.dot(e, e).alias("full"), dynamic.dot(half, half).alias("rounded"), half.alias("embedding"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", e, F.transform(e, dynamic.bfloat16).alias("half"))
+    outer = lambda n: F.element_at("half", n).cast("double")
+    return rows.select("vec_id", F.round(dynamic.dot(e, e), 6).alias("full"), F.round(dynamic.dot(F.col("half"), F.col("half")), 6).alias("rounded"), outer(1).alias("first"), outer(-1).alias("last"))
 
 
 @query("SELECT o_orderkey AS call_id, upper(o_orderpriority) AS result FROM orders")
@@ -307,7 +330,7 @@ SELECT b AS batch_id, pos, call_id,
   CASE WHEN b % 11 = 0 THEN 'input is not from an earlier call' WHEN pos = 3 THEN 'no such method' WHEN pos = 0 AND b % 10 = 0 THEN 'no result' WHEN pos = 1 AND b % 10 = 0 THEN 'dependency 9 failed' END AS message
 FROM c""")
 def call_batches(spark, sf_dir):
-    return calls.run_batches(batch_calls(spark, sf_dir), {"upper": F.upper, "size": lambda p: F.length(p).cast("string")}, waves=2)
+    return calls.run_batches(batch_calls(spark, sf_dir), {"upper": F.upper, "size": lambda p: F.length(p).cast("string")})
 
 
 @query("SELECT event_id AS id, first_value(event_id) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS handle FROM events")
@@ -316,12 +339,43 @@ def future_dispatch(spark, sf_dir):
     return calls.dispatched(rows).select("id", "handle")
 
 
-@query("SELECT user_id AS owner, event_id AS id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n <= 5 AND event_id % 2 = 0")
+@query("SELECT user_id AS owner, event_id AS id FROM (SELECT * FROM events WHERE event_id % 9 <> 0 ORDER BY ts DESC, event_id DESC LIMIT 500) WHERE event_id % 2 = 0")
 def future_resolve(spark, sf_dir):
-    """The even events among each user's newest five, asked for by their owner and, in vain, by another."""
-    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("owner"), F.col("event_id").alias("id"), F.col("ts").alias("done"))
+    """The even events among the 500 that a store still holds, asked for by their owner and, in vain, by another; every ninth is discarded."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("owner"), F.col("event_id").alias("id"), F.col("ts").alias("done"), (F.col("event_id") % 9 == 0).alias("discard"))
     asked = e.filter("id % 2 = 0").select("owner", "id").union(e.filter("id % 2 = 1").select(F.col("owner") + 1_000_000, "id"))
-    return calls.resolved(calls.retained(e, 5), asked).select("owner", "id")
+    return calls.resolved(calls.retained(e, 500), asked).select("owner", "id")
+
+
+@query("""
+WITH e AS (SELECT user_id, event_type, event_id AS id, ts AS moment, 0 AS freed FROM events UNION ALL SELECT user_id, event_type, NULL, ts + INTERVAL 1 SECOND, 1 FROM events WHERE event_id % 7 = 0),
+t AS (SELECT *, sum(freed) OVER (PARTITION BY user_id, event_type ORDER BY moment, freed DESC, id ROWS UNBOUNDED PRECEDING) AS turn FROM e)
+SELECT id, first_value(id) OVER (PARTITION BY user_id, event_type, turn ORDER BY moment, id) AS handle FROM t WHERE freed = 0""")
+def future_release(spark, sf_dir):
+    """Dispatches whose key is free again a second after every seventh of them was dispatched, for it is cancelled then."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("owner"), F.col("event_type").alias("idem_key"), F.col("event_id").alias("id"), F.col("ts").alias("at"))
+    cancels = e.filter("id % 7 = 0").select("owner", "id", (F.col("at") + F.expr("interval 1 second")).alias("at"))
+    return calls.dispatched(e, cancels).select("id", "handle")
+
+
+@query("SELECT user_id + CASE WHEN event_id % 5 = 0 THEN 1 ELSE 0 END AS owner, event_id + CASE WHEN event_id % 11 = 0 THEN 1000000000 ELSE 0 END AS id, CASE WHEN event_id % 11 = 0 THEN 5 WHEN event_id % 5 = 0 THEN 7 ELSE 0 END AS code, event_id % 11 <> 0 AND event_id % 5 <> 0 AND event_id % 2 = 0 AS stopped FROM events")
+def future_cancel(spark, sf_dir):
+    """Each event's future is asked to stop: every eleventh by an unknown id, every fifth by another caller; odd ones are completed."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("owner"), F.col("event_id").alias("id"), F.when(F.col("event_id") % 2 == 1, F.col("ts")).alias("done"))
+    asked = e.select((F.col("owner") + F.when(F.col("id") % 5 == 0, 1).otherwise(0)).alias("owner"), (F.col("id") + F.when(F.col("id") % 11 == 0, 1_000_000_000).otherwise(0)).alias("id"))
+    return calls.cancelled(e, asked)
+
+
+@query("""
+WITH RECURSIVE c AS (SELECT o_orderkey AS call_id, -o_custkey AS parent_id FROM orders UNION ALL SELECT -c_custkey, -1000000000 - c_nationkey FROM customer UNION ALL SELECT -1000000000 - n_nationkey, NULL FROM nation),
+r AS (SELECT call_id FROM c WHERE call_id = -1000000003 OR (call_id BETWEEN -1000000 AND -1 AND call_id % 10 = 0) UNION SELECT c.call_id FROM c JOIN r ON c.parent_id = r.call_id)
+SELECT call_id FROM r""")
+def call_cancellation(spark, sf_dir):
+    """A tree of calls, nations over customers over orders: one nation's and every tenth customer's are stopped with all below."""
+    tree = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("call_id"), (-F.col("o_custkey")).alias("parent_id"))
+    tree = tree.union(table(spark, sf_dir, "customer").selectExpr("-c_custkey", "-1000000000 - c_nationkey")).union(table(spark, sf_dir, "nation").selectExpr("cast(-1000000000 - n_nationkey as long)", "cast(null as long)"))
+    stopped = tree.filter("call_id = -1000000003 or (call_id between -1000000 and -1 and call_id % 10 = 0)").select("call_id")
+    return calls.cancelled_calls(tree, stopped)
 
 
 @query("SELECT call_id, event_id, cursor::INT AS cursor FROM (SELECT user_id AS call_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS cursor FROM events) WHERE cursor > CASE WHEN call_id % 2 = 0 THEN 3 ELSE 0 END")
@@ -402,3 +456,83 @@ def host_top_orders(spark, sf_dir):
 def host_set_operations(spark, sf_dir):
     l = table(spark, sf_dir, "lineitem")
     return l.select(F.col("l_partkey").alias("k")).intersect(table(spark, sf_dir, "part").select("p_partkey")).exceptAll(l.filter("l_quantity > 49").select("l_partkey").distinct())
+
+
+@query("SELECT n_regionkey, c_mktsegment, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY CUBE (n_regionkey, c_mktsegment)")
+def host_cube(spark, sf_dir):
+    x = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    return x.cube("n_regionkey", "c_mktsegment").agg(F.count("*").alias("n"))
+
+
+@query("SELECT l_returnflag, l_linestatus, l_linenumber, count(*) AS n, GROUPING(l_returnflag)::INT AS g FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_linenumber), ())")
+def host_grouping_sets(spark, sf_dir):
+    l = table(spark, sf_dir, "lineitem")
+    sets = [[F.col("l_returnflag"), F.col("l_linestatus")], [F.col("l_linenumber")], []]
+    return l.groupingSets(sets, "l_returnflag", "l_linestatus", "l_linenumber").agg(F.count("*").alias("n"), F.grouping("l_returnflag").cast("int").alias("g"))
+
+
+@query("SELECT event_id, user_id, ts, last_value(CASE WHEN event_type = 'click' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS click, event_type = 'purchase' AS p FROM events QUALIFY p".replace(", event_type = 'purchase' AS p FROM events QUALIFY p", " FROM events QUALIFY event_type = 'purchase'"))
+def host_as_of_join(spark, sf_dir):
+    """Each purchase with the last click of its user before it."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
+    clicks = e.filter("event_type = 'click'").withColumn("click", F.col("event_id"))
+    return joins.as_of(e.filter("event_type = 'purchase'").drop("event_type"), clicks, ["user_id"], "ts", "event_id", ["click"])
+
+
+@query("SELECT a.event_id AS start_id, count(*) AS n FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts >= a.ts AND b.ts < a.ts + INTERVAL 6 HOUR WHERE a.event_type = 'click' AND b.event_type <> 'click' GROUP BY a.event_id")
+def host_interval_join(spark, sf_dir):
+    """How many other events follow each click within six hours."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    spans = e.filter("event_type = 'click'").select(F.col("event_id").alias("start_id"), "user_id", F.col("at").alias("from"), (F.col("at") + 6 * 3_600_000_000).alias("to"))
+    return joins.within(e.filter("event_type <> 'click'"), spans, ["user_id"], "at", "from", "to", 6 * 3_600_000_000).groupBy("start_id").agg(F.count("*").alias("n"))
+
+
+@query("WITH RECURSIVE s(size) AS (SELECT 1 UNION ALL SELECT size + 7 FROM s WHERE size < 50) SELECT size, count(p_partkey) AS n FROM s LEFT JOIN part ON p_size = size GROUP BY size")
+def host_recursive(spark, sf_dir):
+    """A recursive common table expression, joined."""
+    sizes = spark.sql("WITH RECURSIVE s(size) AS (SELECT 1 UNION ALL SELECT size + 7 FROM s WHERE size < 50) SELECT size FROM s")
+    part = table(spark, sf_dir, "part")
+    return sizes.join(part, F.col("p_size") == F.col("size"), "left").groupBy("size").agg(F.count("p_partkey").alias("n"))
+
+
+@query("SELECT c_custkey, upper(substring(c_name, 1, 8)) AS head, md5(c_name) AS md5, sha256(c_name) AS sha256, lower(hex(encode(c_mktsegment))) AS hex, replace(c_name, '#', '-') AS dashed, strlen(c_name)::INT AS n FROM customer")
+def host_text_functions(spark, sf_dir):
+    c = F.col("c_name")
+    rows = table(spark, sf_dir, "customer")
+    return rows.select("c_custkey", F.upper(F.substring(c, 1, 8)).alias("head"), F.md5(c.cast("binary")).alias("md5"), F.sha2(c, 256).alias("sha256"), F.lower(F.hex("c_mktsegment")).alias("hex"), F.replace(c, F.lit("#"), F.lit("-")).alias("dashed"), F.octet_length(c).alias("n"))
+
+
+@query("SELECT o_orderkey, year(o_orderdate)::INT AS y, quarter(o_orderdate)::INT AS q, dayofyear(o_orderdate)::INT AS d, strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') AS month, date_diff('day', DATE '1990-01-01', o_orderdate::DATE)::INT AS days FROM orders")
+def host_date_functions(spark, sf_dir):
+    at = F.col("o_orderdate")
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.year(at).alias("y"), F.quarter(at).alias("q"), F.dayofyear(at).alias("d"), F.trunc(at, "month").cast("string").alias("month"), F.datediff(at, F.to_date(F.lit("1990-01-01"))).alias("days"))
+
+
+@query("SELECT o_orderkey AS id, o_orderkey % 3 = 0 AS bad, o_orderkey % 3 <> 0 AS same FROM orders")
+def wire_pack(spark, sf_dir):
+    """Messages wrapped as they are, with a field that the type doesn't know; every third is cut short and stays out."""
+    wide = Message("Wide", (Field("key", i64, 1), Field("cust", i64, 2), Field("extra", text, 9)))
+    narrow = Message("Narrow", wide.fields[:2])
+    doc = F.struct(F.col("o_orderkey").alias("key"), F.col("o_custkey").alias("cust"), F.col("o_orderpriority").alias("extra"))
+    rows = wire.write_wire(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), doc.alias("doc")), "doc", wide)
+    cut = F.when(F.col("id") % 3 == 0, F.substring("wire", F.lit(1), F.octet_length("wire") - 1)).otherwise(F.col("wire"))
+    made = wire.packed(rows.select("id", cut.alias("wire")), "wire", narrow)
+    v = F.col("value")
+    same = (wire.raw(v) == F.col("wire")) & (wire.spec(v) == F.lit(spec_of(narrow)))
+    return made.select("id", F.col("value_error").isNotNull().alias("bad"), F.coalesce(same, F.lit(False)).alias("same"))
+
+
+@query(_DOCS + "SELECT cust % 8 AS bucket, status, count(*) AS n, sum(key)::BIGINT AS keys FROM (SELECT *, id AS key FROM docs) WHERE status = 'F' GROUP BY ALL")
+def generated_columns(spark, sf_dir):
+    """A path's value kept as a column of its own that partitions the stored table, so that a filter on it prunes files."""
+    docs = order_docs(spark, sf_dir).withColumn("status", doc().extract("$.status"))
+    return docs.filter("status = 'F'").select(F.pmod(doc().extract("$.cust"), F.lit(8)).alias("bucket"), "status", doc().extract("$.key").alias("key")).groupBy("bucket", "status").agg(F.count("*").alias("n"), F.sum("key").alias("keys"))
+
+
+@query("SELECT event_id AS id, event_id % 3 <> 0 AS kept, CASE WHEN event_id % 3 = 0 THEN '$.count: not from 0 to 255' END AS reason FROM events")
+def check_quarantine(spark, sf_dir):
+    """Rows that hold a valid value go on, the others stand aside with the reason."""
+    t = Struct("Count", (Field("count", Scalar("byte")),))
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.struct(F.when(F.col("event_id") % 3 == 0, 300).otherwise(7).cast("smallint").alias("count")).alias("v"))
+    good, bad = checked(rows, Typed(F.col("v"), t))
+    return good.select("id", F.lit(True).alias("kept"), F.lit(None).cast("string").alias("reason")).union(bad.select("id", F.lit(False), "reason"))

@@ -7,6 +7,8 @@ range is an error, reported per row and never by failing the job unless asked.
 
 from __future__ import annotations
 
+import functools
+import itertools
 import struct
 import uuid
 from collections.abc import Iterator
@@ -25,10 +27,52 @@ _PLAIN = {"bool": "?", "byte": "B", "int8": "b", "int16": "h", "uint16": "H", "i
 EMPTY, TINY, MASKS, BLOCKS = 0, (1, 2, 3), ((4, 1), (5, 2), (6, 4)), 7
 
 
+#: Scalars whose bytes are their value: rows of them are read and written at once.
+_NUMBERS = {k: c for k, c in _PLAIN.items() if k not in ("bool", "uint64")}
+
+
 class WireError(ValueError):
     pass
 
 
+@functools.cache
+def _row(t: T.Type) -> tuple[struct.Struct, tuple[str, ...] | None] | None:
+    """Layout and names of a struct of numbers, layout alone of a number; None for any other type."""
+    match t:
+        case T.Scalar(kind) if kind in _NUMBERS:
+            return struct.Struct("<" + _NUMBERS[kind]), None
+        case T.Enum():
+            return _row(T.Scalar(t.base))
+        case T.Struct() if t.fields and all(isinstance(f.type, T.Scalar) and f.type.kind in _NUMBERS for f in t.fields):
+            return struct.Struct("<" + "".join(_NUMBERS[f.type.kind] for f in t.fields)), tuple(f.name for f in t.fields)
+    return None
+
+
+@functools.cache
+def _by_tag(t: T.Message) -> dict[int, T.Field]:
+    """The fields that are written, in the order of their tags."""
+    return {f.tag: f for f in sorted(t.fields, key=lambda f: f.tag) if not f.deprecated}
+
+
+def _write_rows(row: tuple[struct.Struct, tuple[str, ...] | None], values: list) -> bytes:
+    layout, names = row
+    if names is None:
+        return struct.pack(f"<{len(values)}{layout.format[1:]}", *values)
+    return b"".join([layout.pack(*[v[n] for n in names]) for v in values])
+
+
+def _read_rows(row: tuple[struct.Struct, tuple[str, ...] | None], data: bytes) -> list:
+    layout, names = row
+    if names is None:
+        return [v for (v,) in layout.iter_unpack(data)]
+    return [dict(zip(names, v, strict=True)) for v in layout.iter_unpack(data)]
+
+
+@functools.cache
+def _layout(code: str) -> struct.Struct:
+    return struct.Struct("<" + code)
+
+
 class Reader:
     def __init__(self, data: bytes, at: int = 0, end: int | None = None):
         self.data, self.at, self.end = data, at, len(data) if end is None else end
@@ -40,7 +84,8 @@ class Reader:
         return self.data[self.at - n : self.at]
 
     def number(self, code: str):
-        return struct.unpack("<" + code, self.take(struct.calcsize("<" + code)))[0]
+        layout = _layout(code)
+        return layout.unpack(self.take(layout.size))[0]
 
     def part(self, n: int) -> "Reader":
         if n < 0 or self.at + n > self.end:
@@ -109,13 +154,17 @@ def _read_scalar(kind: str, r: Reader):
     return r.number(_PLAIN[kind])
 
 
-def _index(tags: list[int], ends: list[int]) -> bytes:
+def _index(tags: tuple[int, ...], ends: list[int]) -> bytes:
     """Boundaries, directory and control byte of fields with these ascending tags and payload ends."""
-    total = ends[-1] if ends else 0
-    width = 0 if total <= 0xFF else 1 if total <= 0xFFFF else 2
-    bounds = b"".join(e.to_bytes(1 << width, "little") for e in ends[:-1])
     if not tags:
         return bytes([EMPTY << 2])
+    width = 0 if ends[-1] <= 0xFF else 1 if ends[-1] <= 0xFFFF else 2
+    kind, directory = _directory(tags)
+    return b"".join([e.to_bytes(1 << width, "little") for e in ends[:-1]]) + directory + bytes([kind << 2 | width])
+
+
+@functools.cache
+def _directory(tags: tuple[int, ...]) -> tuple[int, bytes]:
     blocks: dict[int, int] = {}
     for tag in tags:
         blocks[(tag - 1) // 32] = blocks.get((tag - 1) // 32, 0) | 1 << (tag - 1) % 32
@@ -130,7 +179,7 @@ def _index(tags: list[int], ends: list[int]) -> bytes:
             break
     if len(tags) <= 3 and len(tags) < len(directory):
         kind, directory = TINY[len(tags) - 1], bytes(tags)
-    return bounds + directory + bytes([kind << 2 | width])
+    return kind, directory
 
 
 def _split(r: Reader) -> list[tuple[int, Reader]]:
@@ -190,19 +239,19 @@ def encode(t: T.Type, v) -> bytes:
         case T.Array(element, size):
             if size is not None and len(v) != size:
                 raise WireError(f"not {size} items")
-            return (b"" if size is not None else struct.pack("<I", len(v))) + b"".join(encode(element, e) for e in v)
+            row = _row(element)
+            items = _write_rows(row, v) if row else b"".join([encode(element, e) for e in v])
+            return (b"" if size is not None else struct.pack("<I", len(v))) + items
         case T.Map(key, value):
             pairs = v.items() if isinstance(v, dict) else v
             return struct.pack("<I", len(v)) + b"".join(encode(key, k) + encode(value, e) for k, e in pairs)
         case T.Struct():
-            return b"".join(encode(f.type, v[f.name]) for f in t.fields)
+            return b"".join([encode(f.type, v[f.name]) for f in t.fields])
         case T.Message():
-            fields = [(f.tag, encode(f.type, v[f.name])) for f in sorted(t.fields, key=lambda f: f.tag) if v.get(f.name) is not None and not f.deprecated]
-            payload, ends = b"", []
-            for _, data in fields:
-                payload += data
-                ends.append(len(payload))
-            body = payload + _index([tag for tag, _ in fields], ends)
+            fields = [(tag, encode(f.type, v[f.name])) for tag, f in _by_tag(t).items() if v.get(f.name) is not None]
+            parts = [data for _, data in fields]
+            parts.append(_index(tuple([tag for tag, _ in fields]), list(itertools.accumulate(map(len, parts)))))
+            body = b"".join(parts)
             return struct.pack("<I", len(body)) + body
         case T.Union():
             f = next((f for f in t.fields if f.tag == v["disc"]), None)
@@ -227,6 +276,8 @@ def _decode(t: T.Type, r: Reader, depth: int):
             n = r.number("I") if size is None else size
             if n > T.MAX_ITEMS:
                 raise WireError("too many items")
+            if row := _row(element):
+                return _read_rows(row, r.take(n * row[0].size))
             return [_decode(element, r, depth + 1) for _ in range(n)]
         case T.Map(key, value):
             n = r.number("I")
@@ -239,7 +290,7 @@ def _decode(t: T.Type, r: Reader, depth: int):
         case T.Struct():
             return {f.name: _decode(f.type, r, depth + 1) for f in t.fields}
         case T.Message():
-            inner, by_tag = r.part(r.number("I")), {f.tag: f for f in t.fields if not f.deprecated}
+            inner, by_tag = r.part(r.number("I")), _by_tag(t)
             out = dict.fromkeys(f.name for f in t.fields)
             for tag, part in _split(inner):
                 if f := by_tag.get(tag):
@@ -303,6 +354,24 @@ def write_wire(df: DataFrame, column: str, t: T.Type, name: str = "wire") -> Dat
     return df.mapInArrow(run, schema)
 
 
+def packed(df: DataFrame, column: str, t: T.Type, name: str = "value") -> DataFrame:
+    """``df`` with the bytes of ``column`` checked against the type and wrapped as they are: ``name`` struct<spec, payload>, null where they
+    don't fit, and ``<name>_error``. Fields and branches that the type doesn't know stay in the payload."""
+    read = read_wire(df, column, t, "_checked")
+    whole = F.struct(F.lit(T.spec_of(t)).alias("spec"), F.col(column).alias("payload"))
+    return read.select(*[F.col(f"`{c}`") for c in df.columns], F.when(F.col(column).isNotNull() & F.col("_checked_error").isNull(), whole).alias(name), F.col("_checked_error").alias(f"{name}_error"))
+
+
+def spec(value) -> "F.Column":
+    """The declaration that a wrapped value carries; ``plans.types.from_spec`` reads it."""
+    return value["spec"]
+
+
+def raw(value) -> "F.Column":
+    """The wire bytes of a wrapped value, as they came."""
+    return value["payload"]
+
+
 def wire_size(t: T.Type, x) -> "F.Column":
     """Bytes of a value on the wire, as a column expression, for types without messages (their index depends on the sizes)."""
     fixed = T.fixed_size(t)

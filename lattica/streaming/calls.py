@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 Method = Callable[[Column], Column]
 #: Limits and status codes of calls.
 MAX_BATCH, MAX_ELEMENTS, MAX_KEPT = 1024, 10_000, 10_000
-INVALID_ARGUMENT, UNIMPLEMENTED = 3, 12
+INVALID_ARGUMENT, NOT_FOUND, PERMISSION_DENIED, UNIMPLEMENTED = 3, 5, 7, 12
 
 
 def unary(calls: DataFrame, method: Method) -> DataFrame:
@@ -55,14 +55,19 @@ def batch_problems(calls: DataFrame) -> DataFrame:
     return sizes.join(late, "batch_id", "left").select("batch_id", problem.alias("problem")).filter("problem is not null")
 
 
-def run_batches(calls: DataFrame, methods: dict[str, Method], waves: int = 16) -> DataFrame:
+def _cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the session's checkpoint folder, so that a step doesn't run all steps before it again; as it is without such a folder."""
+    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df
+
+
+def run_batches(calls: DataFrame, methods: dict[str, Method]) -> DataFrame:
     """Outcomes (batch_id, pos, call_id, result, code, message) of calls (batch_id, pos, call_id, method, payload, input_from).
 
-    Calls run in waves by how deep their inputs lie; a wave is one join with the wave before. A null result fails its
-    call, and what depends on it fails with it, while others keep their results. Batches that can't run fail whole. A chain
-    longer than ``waves`` raises rather than losing calls.
+    Calls run in waves by how deep their inputs lie; a wave is one join of the calls still open with the wave before, and the last
+    is the one after which none is open. A null result fails its call, and what depends on it fails with it, while others keep
+    their results. Batches that can't run fail whole.
     """
-    bad = batch_problems(calls)
+    bad = _cut(batch_problems(calls))
     good = calls.join(bad.select("batch_id"), "batch_id", "left_anti")
 
     def applied(df: DataFrame, payload: Column) -> DataFrame:
@@ -73,15 +78,16 @@ def run_batches(calls: DataFrame, methods: dict[str, Method], waves: int = 16) -
         return df.select("batch_id", "pos", "call_id", F.when(code == 0, result).alias("result"), code.alias("code"), message.alias("message"))
 
     wave = applied(good.filter("input_from = -1").withColumn("failed", F.lit(None).cast("int")), F.col("payload"))
-    done, open_ = wave, good.filter("input_from <> -1")
-    for _ in range(waves):
+    done, open_ = wave, _cut(good.filter("input_from <> -1"))
+    # an input comes from an earlier call, so every wave but the last closes a call
+    while not open_.isEmpty():
+        wave = _cut(wave)
         fed = wave.select("batch_id", F.col("call_id").alias("input_from"), F.col("result").alias("fed"), F.when(F.col("code") != 0, F.col("call_id")).alias("failed"))
         wave = applied(open_.join(fed, ["batch_id", "input_from"]), F.col("fed"))
+        open_ = _cut(open_.join(fed.select("batch_id", "input_from"), ["batch_id", "input_from"], "left_anti").select(*open_.columns))
         done = done.union(wave)
     whole = bad.join(calls, "batch_id").select("batch_id", "pos", "call_id", F.lit(None).cast(dict(done.dtypes)["result"]).alias("result"), F.lit(INVALID_ARGUMENT).alias("code"), F.col("problem").alias("message"))
-    missing = good.join(done.select("batch_id", "call_id"), ["batch_id", "call_id"], "left_anti")
-    lost = missing.select("batch_id", "pos", "call_id", F.raise_error(F.lit("a chain of calls is longer than the waves")).cast(dict(done.dtypes)["result"]).alias("result"), F.lit(0).alias("code"), F.lit(None).cast("string").alias("message"))
-    return done.union(whole).union(lost)
+    return done.union(whole)
 
 
 def with_metadata(batch: Column, upstream: Column) -> Column:
@@ -89,10 +95,44 @@ def with_metadata(batch: Column, upstream: Column) -> Column:
     return F.map_concat(F.map_filter(batch, lambda k, _: ~F.map_contains_key(upstream, k)), upstream)
 
 
-def dispatched(futures: DataFrame) -> DataFrame:
-    """(owner, idem_key, id, at) rows with ``handle``: the id that the first dispatch of the owner's key got. A null key never repeats."""
-    first = Window.partitionBy("owner", "idem_key").orderBy("at", "id")
-    return futures.withColumn("handle", F.when(F.col("idem_key").isNull(), F.col("id")).otherwise(F.first("id").over(first)))
+def dispatched(futures: DataFrame, cancels: DataFrame | None = None) -> DataFrame:
+    """(owner, idem_key, id, at) rows with ``handle``: the id that the first dispatch of the owner's key got. A null key never repeats.
+
+    ``cancels`` (owner, id, at) release the key of the future that they name, if it is the owner's, from that time on: the next dispatch starts anew.
+    """
+    mine = Window.partitionBy("owner", "idem_key")
+    rows = futures.withColumn("_freed", F.lit(0))
+    if cancels is not None:
+        freed = cancels.select("owner", "id", F.col("at").alias("_when")).join(futures.select("owner", "id", "idem_key"), ["owner", "id"])
+        rows = rows.unionByName(freed.select("owner", "idem_key", F.col("_when").alias("at"), F.lit(1).alias("_freed")), allowMissingColumns=True)
+    so_far = mine.orderBy("at", F.desc("_freed"), "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("_turn", F.sum("_freed").over(so_far)).filter("_freed = 0")
+    first = Window.partitionBy("owner", "idem_key", "_turn").orderBy("at", "id")
+    return rows.withColumn("handle", F.when(F.col("idem_key").isNull(), F.col("id")).otherwise(F.first("id").over(first))).drop("_freed", "_turn")
+
+
+def cancelled(futures: DataFrame, asked: DataFrame) -> DataFrame:
+    """Outcomes (owner, id, code, stopped) of requests (owner, id) to cancel futures (owner, id, done; null while pending).
+
+    An unknown id and another caller's future are refused; a completed one is well but stays as it is.
+    """
+    known = futures.select("id", F.col("owner").alias("_of"), F.col("done").isNotNull().alias("_done"))
+    code = F.when(F.col("_of").isNull(), NOT_FOUND).when(F.col("_of") != F.col("owner"), PERMISSION_DENIED).otherwise(0)
+    return asked.select("owner", "id").join(known, "id", "left").select("owner", "id", code.alias("code"), ((code == 0) & ~F.coalesce("_done", F.lit(True))).alias("stopped"))
+
+
+def cancelled_calls(calls: DataFrame, stopped: DataFrame) -> DataFrame:
+    """The call_id of all calls (call_id, parent_id) that end with the stopped ones (call_id): these and all below them, no parent and no sibling.
+
+    One join for each level of the tree, over the calls found last.
+    """
+    found = _cut(calls.select("call_id").join(stopped.select("call_id").distinct(), "call_id", "left_semi").distinct())
+    every = found
+    while not found.isEmpty():
+        below = calls.join(found.select(F.col("call_id").alias("parent_id")), "parent_id", "left_semi").select("call_id").distinct()
+        found = _cut(below.join(every, "call_id", "left_anti"))
+        every = every.union(found)
+    return every
 
 
 def dispatched_stream(futures: DataFrame, within: str = "1 hour") -> DataFrame:
@@ -101,9 +141,12 @@ def dispatched_stream(futures: DataFrame, within: str = "1 hour") -> DataFrame:
 
 
 def retained(completed: DataFrame, limit: int = MAX_KEPT) -> DataFrame:
-    """Each owner's newest ``limit`` completed futures, by (done, id)."""
-    newest = Window.partitionBy("owner").orderBy(F.desc("done"), F.desc("id"))
-    return completed.withColumn("_n", F.row_number().over(newest)).filter(F.col("_n") <= limit).drop("_n")
+    """What a store of ``limit`` completed futures still holds, of all owners together: those completed first leave first, by (done, id).
+
+    Futures whose column ``discard`` is true are delivered to whoever waits and never kept.
+    """
+    kept = completed.filter("not coalesce(discard, false)") if "discard" in completed.columns else completed
+    return kept.orderBy(F.desc("done"), F.desc("id")).limit(limit)
 
 
 def resolved(completed: DataFrame, asked: DataFrame) -> DataFrame:

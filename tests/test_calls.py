@@ -20,7 +20,7 @@ def test_batch_orders(spark):
 def test_batches_run(spark):
     rows = [("b", 0, 1, "up", "a", -1), ("b", 1, 2, "up", None, -1), ("b", 2, 3, "twice", None, 1), ("b", 3, 4, "up", None, 2), ("b", 4, 5, "none", "x", -1), ("c", 0, 1, "up", "z", 1)]
     df = spark.createDataFrame(rows, "batch_id string, pos int, call_id int, method string, payload string, input_from int")
-    out = {(r["batch_id"], r["call_id"]): (r["result"], r["code"], r["message"]) for r in calls.run_batches(df, {"up": F.upper, "twice": lambda p: F.concat(p, p)}, waves=3).collect()}
+    out = {(r["batch_id"], r["call_id"]): (r["result"], r["code"], r["message"]) for r in calls.run_batches(df, {"up": F.upper, "twice": lambda p: F.concat(p, p)}).collect()}
     assert out == {("b", 1): ("A", 0, None), ("b", 2): (None, 3, "no result"), ("b", 3): ("AA", 0, None), ("b", 4): (None, 3, "dependency 2 failed"), ("b", 5): (None, 12, "no such method"), ("c", 1): (None, 3, "input is not from an earlier call")}
 
 

@@ -38,8 +38,3 @@ def test_same_rows(spark, duck, name):
     got, want = queries.QUERIES[name](spark, FOLDER).toPandas(), duck.execute(queries.ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
-
-
-def test_rounded_vectors(spark):
-    for r in queries.vectors_bfloat16(spark, FOLDER).limit(50).collect():
-        assert abs(r["rounded"] - r["full"]) < 0.01 * r["full"] and all(math.frexp(x)[0] * 256 % 1 == 0 for x in r["embedding"])

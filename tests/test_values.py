@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lattica.functions import dynamic, jsontext
 from lattica.functions.method_id import method_id
-from lattica.functions.values import Typed, narrowed
+from lattica.functions.values import Typed, checked, narrowed
 from lattica.operators import children, grouping
 from lattica.plans import types as T
 from lattica.plans.paths import operand, parse
@@ -223,3 +223,18 @@ def test_declarations():
     assert list(T.Registry().add(WIDE).definitions) == ["Circle", "Box", "Shape", "Color", "Wide"]
     assert operand(-1) == "$[#-1]" and operand("a b") == '$."a b"'
     assert dynamic.PREFIX.endswith("/")
+
+
+def test_declarations_as_text():
+    for t in (PERSON, WIDE, SHAPE, T.Enum("E", (("A", 0), ("B", 3)))):
+        assert T.from_spec(T.spec_of(t)) == t and T.spec_of(T.from_spec(T.spec_of(t))) == T.spec_of(t)
+    for bad in ('{"is":"Other"}', '{"is":"Scalar","kind":"nope"}'):
+        with pytest.raises(T.SchemaError):
+            T.from_spec(bad)
+
+
+def test_check_keeps_what_it_refuses(spark):
+    t = T.Struct("P", (T.Field("n", S("byte")),))
+    df = spark.createDataFrame([(1, (5,)), (2, (300,)), (3, None), (4, (None,))], "id int, v struct<n:smallint>")
+    good, bad = checked(df, Typed(F.col("v"), t))
+    assert [r["id"] for r in good.collect()] == [1, 3] and {r["id"]: bool(r["reason"]) for r in bad.collect()} == {2: True, 4: True}
