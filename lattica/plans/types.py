@@ -21,7 +21,8 @@ required says so in its field's metadata, and ``Typed.error`` finds what is miss
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, field, fields, is_dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field, fields, is_dataclass, replace
 
 from pyspark.sql import types as T
 
@@ -111,8 +112,11 @@ class Struct:
 
 @dataclass(frozen=True)
 class Message:
+    """``closed``: fields that aren't declared are an error instead of being passed over."""
+
     name: str
     fields: tuple[Field, ...] = ()
+    closed: bool = False
 
     def __post_init__(self):
         _unique(self.name, [f.name for f in self.fields])
@@ -142,6 +146,20 @@ Type = Scalar | Bytes | Array | Map | Enum | Struct | Message | Union
 Record = (Struct, Message, Union)
 
 
+def recursive(make: Callable[[Message | None], Message], levels: int) -> Message:
+    """A message that holds itself, as columns have to be: so many levels deep.
+
+    ``make`` declares it around the type of the next level, and without its own kind around None. The last level is closed, so a
+    value that is deeper raises when it is read and is never cut off.
+    """
+    if not 1 <= levels <= MAX_DEPTH:
+        raise SchemaError(f"levels are from 1 to {MAX_DEPTH}")
+    t = replace(make(None), closed=True)
+    for _ in range(levels - 1):
+        t = make(t)
+    return t
+
+
 def _unique(name: str, values: list) -> None:
     if twice := {v for v in values if values.count(v) > 1}:
         raise SchemaError(f"{name}: {sorted(map(str, twice))} more than once")

@@ -11,7 +11,7 @@ from .functions import dynamic, jsontext
 from .functions.method_id import method_id
 from .functions.values import Typed, checked
 from .operators import children, grouping, joins
-from .plans.types import Array, Enum, Field, Map, Message, Scalar, Struct, Union, spec_of, to_spark
+from .plans.types import Array, Enum, Field, Map, Message, Scalar, Struct, Union, recursive, spec_of, to_spark
 from .sources import frames, wire
 from .streaming import calls, events
 
@@ -243,6 +243,18 @@ def wire_round_trip(spark, sf_dir):
     return back.select("id", doc().extract("$.cust").alias("cust"), doc().length("$.lines").alias("n"), F.aggregate("doc.lines", F.lit(0.0), lambda a, x: a + x["qty"]).alias("qty"), "doc_error")
 
 
+@query("SELECT r_regionkey AS id, count(DISTINCT n_nationkey) AS nations, count(c_custkey) AS leaves, sum(c_custkey)::BIGINT AS total, CAST(NULL AS VARCHAR) AS doc_error FROM region LEFT JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY r_regionkey")
+def recursive_trees(spark, sf_dir):
+    """Regions over nations over customers as nodes of one message that holds itself, to wire bytes and back. Customers are grouped by nation first."""
+    node = recursive(lambda below: Message("Node", (Field("value", i64, 1), *([Field("children", Array(below), 2)] if below else []))), 3)
+    leaves = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.array_sort(F.collect_list(F.struct(F.col("c_custkey").alias("value")))).alias("children"))
+    nations = table(spark, sf_dir, "nation").join(leaves, "n_nationkey", "left").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.array_sort(F.collect_list(F.struct(F.col("n_nationkey").cast("long").alias("value"), "children"))).alias("children"))
+    whole = table(spark, sf_dir, "region").join(nations, "r_regionkey", "left").select(F.col("r_regionkey").alias("id"), F.struct(F.col("r_regionkey").cast("long").alias("value"), "children").cast(to_spark(node)).alias("doc"))
+    back = wire.read_wire(wire.write_wire(whole, "doc", node).drop("doc"), "wire", node, "doc")
+    values = F.flatten(F.transform("doc.children", lambda n: F.coalesce(F.transform(n["children"], lambda c: c["value"]), F.array().cast("array<bigint>"))))
+    return back.select("id", F.size("doc.children").cast("long").alias("nations"), F.size(values).cast("long").alias("leaves"), F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), "doc_error")
+
+
 @query("SELECT p_partkey AS id, (strlen(p_name) + 5 + strlen(p_brand) + 5 + 4 + 8)::BIGINT AS size FROM part")
 def wire_sizes(spark, sf_dir):
     t = Struct("Part", (Field("name", text), Field("brand", text), Field("size", i32), Field("price", real)))
@@ -251,10 +263,10 @@ def wire_sizes(spark, sf_dir):
 
 @query("SELECT user_id, count(*)::BIGINT AS frames, sum(CASE WHEN f IN (0, 16) THEN 1 ELSE 0 END)::BIGINT AS messages, sum(n)::BIGINT AS payload_bytes, max(CASE WHEN f = 16 THEN event_id END)::BIGINT AS last_cursor, count(CASE WHEN f = 2 THEN 1 END)::BIGINT AS bad FROM (SELECT *, CASE WHEN event_id % 5 = 0 THEN 16 WHEN event_id % 7 = 0 THEN 2 ELSE 0 END AS f, strlen(props) AS n FROM events) GROUP BY user_id")
 def frame_stream(spark, sf_dir):
-    """Each user's events as one byte stream of frames, split again."""
+    """Each user's events as byte streams of frames, one for each 10,000 events in their order, so that no user is one value; split again."""
     flags = F.when(F.col("event_id") % 5 == 0, 16).when(F.col("event_id") % 7 == 0, 2).otherwise(0)
-    rows = table(spark, sf_dir, "events").select("user_id", "event_id", flags.alias("flags"), (F.col("user_id") % 1000).alias("stream_id"), F.encode("props", "UTF-8").alias("payload"), F.when(flags == 16, F.col("event_id")).alias("cursor"))
-    made = frames.encode_frames(rows).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "frame"))).alias("f")).select("user_id", F.unhex(F.array_join(F.transform("f", lambda x: F.hex(x["frame"])), "")).alias("bytes"))
+    rows = table(spark, sf_dir, "events").select("user_id", F.floor(F.col("event_id") / 10_000).alias("part"), "event_id", flags.alias("flags"), (F.col("user_id") % 1000).alias("stream_id"), F.encode("props", "UTF-8").alias("payload"), F.when(flags == 16, F.col("event_id")).alias("cursor"))
+    made = frames.encode_frames(rows).groupBy("user_id", "part").agg(F.array_sort(F.collect_list(F.struct("event_id", "frame"))).alias("f")).select("user_id", F.unhex(F.array_join(F.transform("f", lambda x: F.hex(x["frame"])), "")).alias("bytes"))
     out = frames.split_frames(made, "bytes", ["user_id"])
     message = F.when(frames.is_message(F.col("flags"), F.col("payload")), 1).otherwise(0)
     return out.groupBy("user_id").agg(F.count("*").alias("frames"), F.sum(message).alias("messages"), F.sum(F.octet_length("payload")).alias("payload_bytes"), F.max("cursor").cast("long").alias("last_cursor"), F.count("error").alias("bad"))

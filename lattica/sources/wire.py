@@ -296,6 +296,8 @@ def _decode(t: T.Type, r: Reader, depth: int):
                 if f := by_tag.get(tag):
                     out[f.name] = _decode(f.type, part, depth + 1)
                     part.done()
+                elif t.closed:
+                    raise WireError(f"{t.name} has a field {tag} that isn't declared, or goes deeper than declared")
             return out
         case T.Union():
             inner = r.part(r.number("I"))

@@ -238,3 +238,17 @@ def test_check_keeps_what_it_refuses(spark):
     df = spark.createDataFrame([(1, (5,)), (2, (300,)), (3, None), (4, (None,))], "id int, v struct<n:smallint>")
     good, bad = checked(df, Typed(F.col("v"), t))
     assert [r["id"] for r in good.collect()] == [1, 3] and {r["id"]: bool(r["reason"]) for r in bad.collect()} == {2: True, 4: True}
+
+
+def test_messages_that_hold_themselves():
+    make = lambda below: T.Message("Node", (T.Field("value", S("int32"), 1), *([T.Field("children", T.Array(below), 2)] if below else [])))
+    two, three = T.recursive(make, 2), T.recursive(make, 3)
+    deep = {"value": 1, "children": [{"value": 2, "children": [{"value": 3}, {"value": 4}]}, {"value": 5, "children": None}]}
+    data = wire.encode(three, deep)
+    assert wire.decode(three, data) == deep
+    with pytest.raises(wire.WireError, match="deeper"):
+        wire.decode(two, data)
+    flat = {"value": 1, "children": [{"value": 2}]}
+    assert wire.decode(two, wire.encode(two, flat)) == flat
+    with pytest.raises(T.SchemaError):
+        T.recursive(make, 0)
