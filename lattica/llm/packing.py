@@ -12,8 +12,9 @@ their rank among pieces of their length; ranks come from each partition's own co
 and the partitions' counts, so no length ever meets in one task.
 
 Defined results: null or empty text is the end id alone; repeated rows and null
-ids are pieces of their own; an empty table gives no rows; other columns are
-ignored.
+ids are pieces of their own; texts of any length are read whole; pieces of equal length
+are dealt in the order they are met; an empty table gives no rows; other columns are
+ignored, whatever they are called.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textkit
 from .tokens import encoder
 from .workspace import Workspace
 
@@ -37,18 +39,26 @@ SIZE = 1024
 def _pieces(batches: Iterator[pa.RecordBatch], vocabulary: str, cut: str, end_id: int, size: int) -> Iterator[pa.RecordBatch]:
     """Pieces with the partition they were cut in and their rank among its pieces of the same length."""
     encode, part = encoder(vocabulary, cut).many, TaskContext.get().partitionId()
-    seen: Counter[int] = Counter()
-    for batch in batches:
-        out: list[tuple] = []
-        for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text")), strict=True):
-            ids = np.append(ids, np.uint32(end_id)).astype("<u4")
-            first = (len(ids) - 1) % size + 1
-            for piece, (a, b) in enumerate(zip([0, *range(first, len(ids), size)], range(first, len(ids) + 1, size), strict=True)):
-                out.append((doc_id, piece, a, b - a, zlib.crc32(ids[a:b].tobytes()), part, seen[b - a]))
-                seen[b - a] += 1
-        if out:
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank"])
+    seen = np.zeros(size + 1, np.int64)
+    for portion in (p for batch in batches for p in textkit.portions(batch)):
+        tokens = [np.append(ids, np.uint32(end_id)).astype("<u4") for ids in encode(portion.column("text"))]
+        count = np.array([len(t) for t in tokens], np.int64)
+        many = -(-count // size)
+        row = np.repeat(np.arange(len(count)), many)
+        piece = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+        first = ((count - 1) % size + 1)[row]
+        start = np.where(piece == 0, 0, first + (piece - 1) * size)
+        length = np.where(piece == 0, first, size)
+        crc = np.fromiter((zlib.crc32(tokens[r][a : a + n].tobytes()) for r, a, n in zip(row.tolist(), start.tolist(), length.tolist(), strict=True)), np.int64, len(row))
+        # the rank within the portion, pieces of a length one after the other
+        order = np.argsort(length, kind="stable")
+        here = np.bincount(length, minlength=size + 1)
+        rank = np.empty(len(row), np.int64)
+        rank[order] = np.arange(len(row)) - np.repeat(np.cumsum(here) - here, here)
+        rank += seen[length]
+        seen += here
+        columns = [portion.column("doc_id").take(pa.array(row)), pa.array(piece.astype(np.int32)), *map(pa.array, (start, length, crc)), pa.array(np.full(len(row), part, np.int32)), pa.array(rank)]
+        yield pa.record_batch(columns, ["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank"])
 
 
 def patterns(counts: list[int], size: int = SIZE) -> list[tuple[int, tuple[int, ...]]]:
@@ -161,7 +171,7 @@ def pack_sequences(docs: DataFrame, vocabulary: str, cut: str, end_id: int, size
     spark = docs.sparkSession
     work = Workspace(spark, "packing")
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    cut_rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda it: _pieces(it, vocabulary, cut, end_id, size), "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long")
+    cut_rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda it: textkit.released(_pieces(it, vocabulary, cut, end_id, size)), "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long")
     pieces = work.table(cut_rows, "pieces")
     by_part = work.table(pieces.groupBy("length", "part").agg(F.count("*").alias("n")), "by-part")
     total = {r["length"]: r["n"] for r in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``size`` rows

@@ -12,8 +12,9 @@ Character n-grams run over the text's bytes, lower-cased or not according to
 the kind, so letters, signs and casing all count.
 
 Defined results: null or empty text scores as the layer does on a zero vector; repeated
-rows are scored alike; a null id is in no fold but scored; without labels of both kinds
-every score is the share of label 1 (one half without labels).
+rows are scored alike; of repeated labels the largest counts; a score of just one half is label 1; a null id
+is in no fold but scored; without labels of both kinds every score is the share of label 1 (one half without labels);
+texts of any length are read whole; an empty table gives no rows; other columns are never read, whatever they are called.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ DIMENSIONS, EPOCHS, RATE = 8, 4, 0.3
 #: Labelled rows to learn from at most; at 3 KB of text each some 20 MB meet in the task that trains.
 SAMPLE = 6_000
 GRAMS = (3, 4)
-#: The row that all pairs of a word with itself share.
+#: The row that all pairs of a word with itself share: repetition counts as such, whatever word is repeated.
 REPEAT = 0
 
 
@@ -82,15 +83,12 @@ def train(texts: pa.Array, labels: list[int], seed: int = 5) -> Model:
     share = float(y.mean()) if len(y) else 0.5
     if not len(y) or not 0 < share < 1:
         return Model(np.zeros(BUCKETS, np.float32), float(np.log((share + 1e-3) / (1 - share + 1e-3))))
-    ids_of, part_of, ends = [], [], [0]
+    ids_of, count_of = [], []
     for _, _, data, offsets in textkit.slices(texts):
         for f in features(data, offsets):
             ids, n = np.unique(f, return_counts=True)
             ids_of.append(ids)
-            part_of.append((n / max(1, n.sum())).astype(np.float32))
-            ends.append(ends[-1] + len(ids))
-    all_ids, all_parts = np.concatenate(ids_of), np.concatenate(part_of)
-    del ids_of, part_of
+            count_of.append(n.astype(np.uint16 if n.max(initial=0) < 1 << 16 else np.int64))
     rng = np.random.default_rng(seed)
     table = rng.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (BUCKETS, DIMENSIONS)).astype(np.float32)
     layer, bias = rng.normal(0, 0.5, (DIMENSIONS, 2)).astype(np.float32), np.zeros(2, np.float32)
@@ -101,9 +99,10 @@ def train(texts: pa.Array, labels: list[int], seed: int = 5) -> Model:
         for i in rng.permutation(len(y)):
             rate = RATE * (1 - done / steps) * min(4.0, balance[y[i]])
             done += 1
-            ids, part = all_ids[ends[i] : ends[i + 1]], all_parts[ends[i] : ends[i + 1]]
+            ids, part = ids_of[i], count_of[i].astype(np.float32)
             if not len(ids):
                 continue
+            part /= part.sum()
             mean = part @ table[ids]
             z = mean @ layer + bias
             p = np.exp(z - z.max())
@@ -135,7 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str = "
         yield pa.record_batch([pa.array([model.weight.astype("<f4").tobytes()]), pa.array([model.bias])], ["weight", "bias"])
 
     # the bounded sample meets in one task, and only the model passes the driver
-    made = rows.select(F.col("doc_id").cast("long"), "y", "text").repartition(1).mapInArrow(run, "weight binary, bias double").first()
+    made = rows.select(F.col("doc_id").cast("long"), "y", "text").repartition(1).mapInArrow(lambda it: textkit.released(run(it)), "weight binary, bias double").first()
     return train(pa.array([], pa.string()), []) if made is None else Model(np.frombuffer(made["weight"], "<f4"), made["bias"])
 
 
@@ -149,7 +148,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.record_batch([batch.column("doc_id"), pa.array([held_out(i) for i in batch.column("doc_id").to_pylist()]), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select("doc_id", "text")
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(lambda it: textkit.released(run(it)), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
 
 
 def drop_low_quality(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
@@ -160,4 +159,4 @@ def drop_low_quality(docs: DataFrame, model: Model, least: float = 0.5) -> DataF
         for batch in batches:
             yield batch.filter(pa.array(shared.value.scores(batch.column("text")) >= least))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lambda it: textkit.released(run(it)), docs.schema)

@@ -2,9 +2,9 @@
 
 The library is slow on running text and text repeats itself, so a text is cut
 where the vocabulary's own pre-tokenizer always cuts, each distinct chunk is
-encoded by the library once, and its ids are kept for the worker's lifetime
-(up to a fixed number of chunks). ``tests/llm`` holds the ids against the
-library's for whole texts.
+encoded by the library once, and its ids are kept for later tasks of the worker,
+up to a fixed number of bytes. ``tests/llm`` holds the ids against the library's
+for whole texts.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text that are split at once.
-_SLICE = 4 << 20
+#: What Python's objects and dictionary take for a chunk, and for a pre-token, beside their bytes.
+_CHUNK_BYTES, _PIECE_BYTES = 150, 200
 #: Letters and digits up to U+00FF as the vocabularies' patterns class them.
 _L, _N = "a-zA-ZªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾"
 _PIECES = {
@@ -39,20 +39,22 @@ _CUT = re.compile(rb" (?=[^\x00-\x20\xc2\xe1-\xe3])")
 class Encoder:
     """cut: "words" for vocabularies that drop white space, "spaces" for byte-level ones that join a space to the next word, "whole" for any other."""
 
-    def __init__(self, path: str, cut: str, keep_chunks: int = 250_000, keep_pieces: int = 300_000):
+    def __init__(self, path: str, cut: str, keep_bytes: int = 64 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
-        self.cut, self.keep_chunks, self.keep_pieces = cut, keep_chunks, keep_pieces
+        self.cut, self.half = cut, keep_bytes // 2  # for chunks, and for pre-tokens
         self.pieces: dict[str, bytes] = {}
+        self.piece_bytes = 0
         self.find, self.lower = getattr(_PIECES.get(cut), "findall", None), cut == "words"
         self._clear()
 
     def _clear(self) -> None:
         self.chunks: tuple[dict[bytes, int], dict[bytes, int]] = ({}, {})
         self.flat, self.ends = array("I"), array("q", [0])
+        self.chunk_bytes = 0
 
     def _piece(self, piece: str) -> bytes:
         """A pre-token's ids, straight from the library's model."""
@@ -71,15 +73,18 @@ class Encoder:
         for piece in self.find(chunk.lower() if self.lower else chunk):
             ids = known.get(piece)
             if ids is None:
-                if len(known) >= self.keep_pieces:
+                if self.piece_bytes > self.half:
                     known.clear()
+                    self.piece_bytes = 0
                 ids = known[piece] = self._piece(piece)
+                self.piece_bytes += len(piece) + len(ids) + _PIECE_BYTES
             add(ids)
 
     def _learn(self, missing: list[bytes], known: dict[bytes, int], lead: str) -> None:
         for m in missing:
             self._chunk(lead + m.decode())
             known[m] = len(self.ends) - 1
+            self.chunk_bytes += len(m) + 4 * (len(self.flat) - self.ends[-1]) + _CHUNK_BYTES
             self.ends.append(len(self.flat))
 
     def _indexes(self, parts: list[bytes], which: int) -> list[int]:
@@ -106,7 +111,7 @@ class Encoder:
             return np.zeros(0, np.uint32)
         if self.cut == "whole":
             return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
-        if len(self.ends) > self.keep_chunks:
+        if self.chunk_bytes > self.half:
             self._clear()
         data = text.encode()
         if self.cut == "words":
@@ -119,11 +124,10 @@ class Encoder:
         return self._gather(np.array(order, np.int64))[0]
 
     def many(self, texts: pa.Array) -> list[np.ndarray]:
-        """``ids`` of each text (null: empty); chunks are split and told apart for many texts at once."""
+        """``ids`` of each text (null: empty); chunks are split and told apart for all texts at once, so they should be some megabytes at most."""
         texts = pc.fill_null(texts, "").cast(pa.large_string())
         if self.cut == "whole":
             return [self.ids(t) for t in texts.to_pylist()]
-        size = pc.binary_length(texts).to_numpy()
         slow = pc.match_substring(texts, "<|")
         if self.cut == "spaces":
             slow = pc.or_(slow, pc.match_substring_regex(texts, "(?s) [\\x00-\\x20\\x{80}-\\x{bf}\\x{1000}-\\x{3fff}]| $"))
@@ -132,15 +136,12 @@ class Encoder:
         for i in np.flatnonzero(slow).tolist():
             out[i] = self.ids(texts[i].as_py())
         plain = np.flatnonzero(~slow)
-        group = np.cumsum(size[plain]) // _SLICE
-        for g in np.unique(group):
-            rows = plain[group == g]
-            for i, ids in zip(rows.tolist(), self._slice(texts.take(pa.array(rows))), strict=True):
-                out[i] = ids
+        for i, ids in zip(plain.tolist(), self._slice(texts.take(pa.array(plain))), strict=True):
+            out[i] = ids
         return out
 
     def _slice(self, texts: pa.Array) -> list[np.ndarray]:
-        if len(self.ends) > self.keep_chunks:
+        if self.chunk_bytes > self.half:
             self._clear()
         words = self.cut == "words"
         lists = pc.ascii_split_whitespace(pc.ascii_lower(texts)) if words else pc.split_pattern(texts, " ")
