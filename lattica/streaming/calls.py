@@ -57,7 +57,12 @@ def batch_problems(calls: DataFrame) -> DataFrame:
 
 def _cut(df: DataFrame) -> DataFrame:
     """``df`` written to the session's checkpoint folder, so that a step doesn't run all steps before it again; as it is without such a folder."""
-    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df
+    context, folder = df.sparkSession.sparkContext, df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        return df
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
+    return df.checkpoint()
 
 
 def run_batches(calls: DataFrame, methods: dict[str, Method]) -> DataFrame:
