@@ -8,8 +8,9 @@ date and payload digest; ids are name-based UUIDs, so a task that runs again
 makes the same records. Every step works row by row: nothing is shuffled.
 
 Defined results: a null page is an empty body; a null URL gives a record without a target; a
-response whose block isn't HTTP or has no body gives an empty text; repeated
-rows give equal records; other columns are ignored.
+response whose block isn't HTTP is all body; one without a body gives an empty text; repeated
+rows give equal records, repeated headers are kept in their order; a body is read by its charset;
+pages of any length are read whole; an empty table gives no rows; other columns are ignored, whatever they are called.
 """
 
 from __future__ import annotations
@@ -23,11 +24,15 @@ import re
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of pages that a task works on at once.
+PORTION = 4 << 20
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: names that are URLs
 RECORD = "page_id long, record_type string, record_id string, refers_to string, target_uri string, date string, content_type string, payload_digest string, block_digest string, content_length long, block binary"
 
@@ -38,6 +43,7 @@ _TAG = re.compile(r"<[/!?a-zA-Z][^>]*>")
 _BLANKS, _LINES = re.compile(r"[^\S\n]+"), re.compile(r" ?\n[ \n]*")
 _META = re.compile(r"<meta\b([^>]*)>", re.I)
 _LINK = re.compile(r"<(a|area|link|img|script|iframe|source|embed)\b([^>]*)>", re.I)
+_CHARSET = re.compile(r"charset\s*=\s*[\"']?([\w.:-]+)", re.I)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z][\w:.-]*)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 
 
@@ -72,13 +78,23 @@ def page_metadata(page: str) -> dict:
     return {"Title": entities.unescape(_TAG.sub("", title[1])).strip() if title else "", "Metas": metas, "Links": links}
 
 
-def http_parts(block: bytes) -> tuple[str, dict[str, str], bytes]:
-    """(status line, headers, body); a block without an HTTP head is all body."""
+def http_parts(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
+    """(status line, headers in order, repeated ones too, body); a block without an HTTP head is all body."""
     if not block.startswith(b"HTTP/"):
-        return "", {}, block
+        return "", [], block
     head, _, body = block.partition(b"\r\n\r\n")
     status, *lines = head.decode("latin-1").split("\r\n")
-    return status, dict(x.split(":", 1) for x in lines if ":" in x) and {k.strip(): v.strip() for k, v in (x.split(":", 1) for x in lines if ":" in x)}, body
+    return status, [(k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in lines if ":" in x)], body
+
+
+def _decoded(body: bytes, headers: list[tuple[str, str]]) -> str:
+    """The body's text by the charset of its content type, else that of a meta tag in its first bytes, else UTF-8; unknown charsets count as UTF-8."""
+    said = next((v for k, v in headers if k.lower() == "content-type"), "")
+    found = _CHARSET.search(said) or _CHARSET.search(body[:2048].decode("latin-1"))
+    try:
+        return body.decode(found[1] if found else "utf-8", "replace")
+    except LookupError:
+        return body.decode("utf-8", "replace")
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -87,8 +103,19 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
-def _respond(batches: Iterator[pa.RecordBatch], date: str) -> Iterator[pa.RecordBatch]:
+def _by_bytes(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about PORTION bytes of the column, so that a task never holds many pages at once."""
     for batch in batches:
+        total = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        lo = 0
+        while lo < batch.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + PORTION, "right")))
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+
+
+def _respond(batches: Iterator[pa.RecordBatch], date: str) -> Iterator[pa.RecordBatch]:
+    for batch in _by_bytes(batches, "html"):
         rows = []
         for page_id, url, page in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True):
             body = (page or "").encode()
@@ -105,16 +132,16 @@ def responses(pages: DataFrame, date: str = "1970-01-01T00:00:00Z") -> DataFrame
 
 def _derive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ("page_id", "record_type", "record_id", "target_uri", "date", "payload_digest", "block_digest", "content_type", "content_length", "block")
-    for batch in batches:
+    for batch in _by_bytes(batches, "block"):
         rows = []
         for page_id, kind, source, url, date, payload, block_digest, content_type, length, block in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
             if kind != "response":
                 continue
             status, headers, body = http_parts(block or b"")
-            page = body.decode("utf-8", "replace")
+            page = _decoded(body, headers)
             envelope = {
                 "WARC-Header-Metadata": {"WARC-Type": kind, "WARC-Record-ID": source, "WARC-Target-URI": url, "WARC-Date": date, "WARC-Payload-Digest": payload, "WARC-Block-Digest": block_digest, "Content-Type": content_type, "Content-Length": length},
-                "Payload-Metadata": {"HTTP-Response-Metadata": {"Response-Message": status, "Headers": headers, "Entity-Length": len(body), "Entity-Digest": digest(body), "HTML-Metadata": page_metadata(page)}},
+                "Payload-Metadata": {"HTTP-Response-Metadata": {"Response-Message": status, "Headers": [{"name": k, "value": v} for k, v in headers], "Entity-Length": len(body), "Entity-Digest": digest(body), "HTML-Metadata": page_metadata(page)}},
             }
             for made, mime, content in (("metadata", "application/json", json.dumps({"Envelope": envelope}, ensure_ascii=False, sort_keys=True).encode()), ("conversion", "text/plain", plain_text(page).encode())):
                 rows.append((page_id, made, record_id(made, source or ""), source, url, date, mime, payload, digest(content), len(content), content))
@@ -136,18 +163,20 @@ def record_bytes(row: dict) -> bytes:
     return f"WARC/1.1\r\n{lines}\r\n".encode() + (row["block"] or b"") + b"\r\n\r\n"
 
 
-def parse_records(data: bytes) -> Iterator[dict]:
-    """The records of a file's (unzipped) bytes."""
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        h = {k: v.strip() for k, v in (x.split(":", 1) for x in data[at:end].decode().split("\r\n")[1:])}
-        size = int(h["Content-Length"])
+def parse_records(file) -> Iterator[dict]:
+    """The records of an open (unzipped) file, one after the other. Names of header fields count in any case; of repeated ones the last."""
+    while line := file.readline():
+        if not line.strip():
+            continue
+        h = {}
+        while (line := file.readline()).strip():
+            name, _, value = line.decode("utf-8", "replace").partition(":")
+            h[name.strip().lower()] = value.strip()
+        size = int(h["content-length"])
         yield {
-            "page_id": int(h["WARC-Page-ID"]) if "WARC-Page-ID" in h else None, "record_type": h["WARC-Type"], "record_id": h["WARC-Record-ID"], "refers_to": h.get("WARC-Refers-To"), "target_uri": h.get("WARC-Target-URI"), "date": h["WARC-Date"],
-            "content_type": h.get("Content-Type"), "payload_digest": h.get("WARC-Payload-Digest") or h.get("WARC-Source-Payload-Digest"), "block_digest": h.get("WARC-Block-Digest"), "content_length": size, "block": data[end + 4 : end + 4 + size],
+            "page_id": int(h["warc-page-id"]) if "warc-page-id" in h else None, "record_type": h.get("warc-type"), "record_id": h.get("warc-record-id"), "refers_to": h.get("warc-refers-to"), "target_uri": h.get("warc-target-uri"), "date": h.get("warc-date"),
+            "content_type": h.get("content-type"), "payload_digest": h.get("warc-payload-digest") or h.get("warc-source-payload-digest"), "block_digest": h.get("warc-block-digest"), "content_length": size, "block": file.read(size),
         }
-        at = end + 4 + size + 4
 
 
 def write_warc(records: DataFrame, folder: str, prefix: str = "part", file_bytes: int = 64 << 20) -> DataFrame:
@@ -188,7 +217,14 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
         names = [c.split()[0] for c in RECORD.split(", ")]
         for batch in batches:
             for content in batch.column("content"):
-                rows = [tuple(r[n] for n in names) for r in parse_records(gzip.decompress(content.as_py()))]
+                rows, held = [], 0
+                # unzipped as it is read: only the records of one batch are held
+                for r in parse_records(gzip.GzipFile(fileobj=pa.BufferReader(content.as_buffer()))):
+                    rows.append(tuple(r[n] for n in names))
+                    held += r["content_length"]
+                    if held > PORTION:
+                        yield _batch(rows)
+                        rows, held = [], 0
                 if rows:
                     yield _batch(rows)
 
