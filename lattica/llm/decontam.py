@@ -8,7 +8,9 @@ scans the texts as they were written once, and the hits are put together per row
 
 Defined results: null has no words; an item without words is in nothing; items
 with equal windows are all found; every row gives one row, repeated ones and
-those without an id too; other columns are ignored.
+those without an id too; texts of any length are read whole; an empty table gives no rows,
+and against an empty benchmark nothing is hit; other columns are ignored, whatever they are called,
+and kept by ``drop_contaminated``.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from . import textkit
 from .workspace import Workspace
 
 #: Key of a row while the hits of several blocks are put together.
-ROW = "__row"
+ROW, KEPT = "__row", "__row_of_the_table"
 WIDTH = 13
 #: Windows in one broadcast: about 100 MB of words and hashes at 13 words each.
 BLOCK_WINDOWS = 500_000
@@ -112,12 +114,12 @@ def _scan(docs: DataFrame, key: str, block: list, all_rows: bool) -> tuple[DataF
             out = pa.record_batch([batch.column(key), pa.array(n, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], [key, "n_words", "hit_words", "items"])
             yield out if all_rows else out.filter(pa.array([len(h) > 0 for h in hits], pa.bool_()))
 
-    return docs.select(key, "text").mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, n_words long, hit_words array<int>, items array<string>"), windows
+    return docs.select(key, "text").mapInArrow(lambda it: textkit.released(run(it)), f"{key} {docs.schema[key].dataType.simpleString()}, n_words long, hit_words array<int>, items array<string>"), windows
 
 
 def _in_blocks(docs: DataFrame, blocks: Iterator[list], work: Workspace) -> tuple[DataFrame, DataFrame]:
-    """The rows with a key, and (key, n_words, hit_words, items) of each, from the hits of all blocks."""
-    keyed = work.table(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    """The rows with a key, and (key, n_words, hit_words, items) of each, from the hits of all blocks. A column of the key's name gets another."""
+    keyed = work.table(docs.withColumnRenamed(ROW, KEPT).withColumn(ROW, F.monotonically_increasing_id()), "rows")
     whole = None
     for i, block in enumerate(blocks):
         hits, windows = _scan(keyed, ROW, block, i == 0)
@@ -191,7 +193,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH)
     if n > 1:
         keyed, merged = _in_blocks(docs, blocks, work)
         bad = merged.filter("size(hit_words) > 0 and 20 * size(hit_words) >= n_words").select(ROW)
-        return keyed.join(bad, ROW, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+        return keyed.join(bad, ROW, "left_anti").select(*[F.col(f"`{KEPT if c == ROW else c}`").alias(c) for c in docs.columns])
     windows = docs.sparkSession.sparkContext.broadcast(Windows(next(blocks)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,4 +203,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH)
                 keep += [not hit.any() or 20 * int(hit.sum()) < count for count, hit, _ in windows.value.scan(data, offsets)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lambda it: textkit.released(run(it)), docs.schema)
