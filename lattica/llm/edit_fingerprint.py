@@ -16,33 +16,38 @@ walk, by a rule that depends on the walk's length alone and changes rarely as it
 grows. It holds 4 bits of a hash of the CONTEXT characters that the walk stands at.
 The share of equal digits beyond chance estimates what two texts share of all that
 they hold; likeness is what they share of their mean length. Near texts agree in a
-band of digits with high probability; pairs that meet in a band are verified on
-whole fingerprints.
+band of sampled digits with high probability; documents that meet in a band are verified on
+whole fingerprints and form classes.
 
 Defined results: null counts as empty; an empty text's fingerprint is all
-zeros, alike to another empty text only; equal texts have equal fingerprints.
+zeros, alike to another empty text only; equal texts have equal fingerprints; texts of
+any length are read whole; repeated rows give a result each; an empty table gives no
+rows; other columns are ignored, whatever they are called.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import textkit
-from .near_dup import cells
+from . import near_dup, textkit
+from .workspace import Workspace
 
 U = np.uint64
-BLOCK, CUT, TIMES, PLACES, CONTEXT = 2048, 256, 8192, 256, 8
+BLOCK, CUT, TIMES, PLACES, CONTEXT = 2048, 256, 8192, 256, 8  # CUT is a power of two
 #: Characters walked at once; a longer text is walked alone.
 SLICE_CHARS = 1 << 20
-#: Fingerprints of a block of a large band, on average.
-BAND_BLOCK = 512
+#: Bytes of text of a range of ids, on average, and the most ranges that the driver tells apart.
+AREA_BYTES, MOST_AREAS = 16 << 20, 20_000
+#: Stands for an id of null, below all ids.
+NO_ID = -(1 << 63)
 
 
 @functools.cache
@@ -66,19 +71,17 @@ def _records(longest: int) -> list[np.ndarray]:
 
 
 def _embed(codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """[step, lane]: the time at which each lane's walk leaves its step-th character; -1 beyond its end."""
+    """For each character the time at which its block's walk leaves it. Blocks are walked side by side, a character of each at a step."""
     order = np.argsort(-sizes, kind="stable")
-    out = np.full((int(sizes.max(initial=0)), len(sizes)), -1, np.int32)
     starts, sizes, leave = starts[order], sizes[order], _bits()
-    time = np.zeros(len(sizes), np.int32)
-    alive = np.searchsorted(-sizes, -np.arange(len(out)), "left")
-    for step in range(len(out)):
-        n = alive[step]
-        time[:n] = leave[codes[starts[:n] + step] * TIMES + time[:n]]
-        out[step, :n] = time[:n]
-    back = np.empty(len(order), np.int64)
-    back[order] = np.arange(len(order))
-    return out[:, back]
+    out, time = np.empty(len(codes), np.int32), np.zeros(len(sizes), np.int32)
+    rows = codes * TIMES
+    alive = np.searchsorted(-sizes, -np.arange(int(sizes.max(initial=0))), "left")
+    for step, n in enumerate(alive.tolist()):
+        at = starts[:n] + step
+        time[:n] = leave[rows[at] + time[:n]]
+        out[at] = time[:n]
+    return out
 
 
 def _digits(texts: list[np.ndarray]) -> np.ndarray:
@@ -104,7 +107,7 @@ def _digits(texts: list[np.ndarray]) -> np.ndarray:
     if not len(some):
         return out
     n_chars = int(first[-1])
-    cut = np.flatnonzero((textkit.mix(seen[:n_chars]) >> U(20)) % U(CUT) == 0)
+    cut = np.flatnonzero(((textkit.mix(seen[:n_chars]) >> U(20)) & U(CUT - 1)) == 0)
     starts = np.union1d(first[:-1][some], cut)
     sizes = np.diff(starts, append=n_chars)
     # a block that is too long is cut each BLOCK characters
@@ -112,8 +115,8 @@ def _digits(texts: list[np.ndarray]) -> np.ndarray:
     starts = np.repeat(starts, times) + (np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)) * BLOCK
     sizes = np.diff(starts, append=n_chars)
     base = np.searchsorted(starts, first[:-1][some])
-    leave = _embed(codes, starts, sizes)
-    took = np.maximum(leave[sizes - 1, np.arange(len(sizes))], 1)
+    leave = _embed(codes[:n_chars], starts, sizes)
+    took = np.maximum(leave[starts + sizes - 1], 1)
     many = np.diff(base, append=len(starts))
     lane = np.empty((len(some), PLACES), np.int64)
     for k in range(PLACES):
@@ -124,11 +127,10 @@ def _digits(texts: list[np.ndarray]) -> np.ndarray:
         lane[:, k] = np.minimum.reduceat(np.where(wait == least, np.arange(len(wait)), len(wait)), base)
     records = _records(TIMES)
     time = np.stack([r[np.searchsorted(r, took[lane[:, k]]) - 1] for k, r in enumerate(records)], axis=1)
-    # per lane, times of leaving grow with the step: one sorted array of lane * span + time
+    # in a block, times of leaving grow with the step: one sorted array of block * span + time
     span = TIMES + 1
-    keys = (leave.T.astype(np.int64) + np.arange(leave.shape[1])[:, None] * span)[leave.T >= 0]
-    begin = np.cumsum(sizes) - sizes
-    step = np.searchsorted(keys, (lane * span + time).ravel(), "right").reshape(lane.shape) - begin[lane]
+    keys = leave + np.repeat(np.arange(len(sizes)) * span, sizes)
+    step = np.searchsorted(keys, (lane * span + time).ravel(), "right").reshape(lane.shape) - starts[lane]
     step = np.minimum(step, sizes[lane] - 1)
     digit = textkit.mix(seen[starts[lane] + step] ^ (np.arange(PLACES, dtype=U) * U(0xD1342543DE82EF95))) & U(15)
     out[some] = digit
@@ -163,55 +165,75 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
             yield pa.record_batch([batch.column("doc_id"), pa.array(fingerprints([t or "" for t in batch.column("text").to_pylist()]), pa.string())], ["doc_id", "fingerprint"])
 
     rows = docs.select("doc_id", "text")
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fingerprint string")
+    return rows.mapInArrow(lambda it: textkit.released(run(it)), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fingerprint string")
+
+
+def packed(prints: Column) -> Column:
+    return F.unhex(prints)
+
+
+def unpacked(prints: list[bytes]) -> np.ndarray:
+    """[fingerprint, place] of packed fingerprints: the digits."""
+    pairs = np.frombuffer(b"".join(prints), np.uint8).reshape(len(prints), -1)
+    return np.stack([pairs >> 4, pairs & 15], axis=2).reshape(len(prints), -1)
 
 
-def _band_keys(batches: Iterator[pa.RecordBatch], samples: np.ndarray) -> Iterator[pa.RecordBatch]:
+def digits_for(least: float) -> int:
+    """How many equal digits make two fingerprints alike by ``least``."""
+    shared = least / (2 - least)
+    return math.ceil(PLACES * (1 / 16 + 15 / 16 * shared) - 1e-9)
+
+
+def bands_for(n: int, least: float, miss: float) -> tuple[int, int]:
+    """(digits of a sample, number of samples) for so many fingerprints.
+
+    Unrelated ones share a sample of so many digits one time in 16 on average, whatever their number; a pair
+    that is alike by ``least`` shares none with probability ``miss``.
+    """
+    width = 1 + math.ceil(math.log(max(2, n), 16))
+    return width, math.ceil(math.log(miss) / math.log(1 - (digits_for(least) / PLACES) ** width))
+
+
+def _band_keys(batches: Iterator[pa.RecordBatch], samples: np.ndarray, kept: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        digits = np.frombuffer("".join(batch.column("fingerprint").to_pylist()).encode(), np.uint8).reshape(-1, PLACES)
-        keys = np.empty((len(digits), len(samples)), U)
+        digits = unpacked(batch.column("signature").to_pylist())
         for i, sample in enumerate(samples):
             key = np.full(len(digits), i + 1, U)
             for place in sample:
                 key = textkit.mix(key * U(257) + digits[:, place])
-            keys[:, i] = key
-        row = pa.array(np.repeat(np.arange(len(digits)), len(samples)))
-        yield pa.record_batch([batch.column("fingerprint").take(row), pa.array(keys.ravel().astype(np.int64))], ["fingerprint", "key"])
-
-
-def _alike(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """The alike pairs of each cell of two blocks, or of one block's own, from rows sorted by (key, i, j)."""
-    for cell in cells(batches):
-        names, block = cell.column("fingerprint").to_pylist(), cell.column("block").to_numpy()
-        digits = np.frombuffer("".join(names).encode(), np.uint8).reshape(-1, PLACES)
-        crossing = cell.column("i")[0] != cell.column("j")[0]
-        for k in range(len(names) - 1):
-            at = np.arange(k + 1, len(names))
-            at = at[block[at] != block[k]] if crossing else at
-            # no pair whose share of equal digits is below ``least`` / 2 is as alike as that
-            at = at[(digits[at] == digits[k]).mean(axis=1) >= least / 2]
-            out = [(min(names[k], names[x]), max(names[k], names[x]), s) for x in at.tolist() if (s := likeness(names[k], names[x])) >= least]
-            if out:
-                yield pa.record_batch([pa.array(c) for c in zip(*out, strict=True)], ["a", "b", "likeness"])
-
-
-def near_pairs(prints: DataFrame, least: float = 0.8, bands: int = 192, width: int = 8) -> DataFrame:
-    """(a, b, likeness) of all distinct fingerprints (a < b) that share one of ``bands`` samples of ``width`` digits and are alike by ``least``.
-
-    Equal fingerprints are one class beforehand, so copies give no pairs. All pairs that share a sample are compared on whole
-    fingerprints; the fingerprints of a large band are cut into blocks at random and each pair of blocks is compared in one task.
+            yield pa.record_batch([pa.array(key.astype(np.int64)), *(batch.column(c) for c in kept)], ["key", *kept])
+
+
+def near_classes(prints: DataFrame, least: float = 0.9, miss: float = 0.02) -> DataFrame:
+    """(doc_id, class_id) of the rows of ``prints`` (doc_id, fingerprint) that are in one class with others; class_id is the smallest id that can be reached.
+
+    Equal fingerprints are one class. Different ones are linked if they are alike by ``least``; a pair of just that likeness shares no
+    sample with probability ``miss``. Every link is verified on whole fingerprints: first each fingerprint of a sample's
+    value against a random one of them, then, where several classes remain, all against all, in blocks if there are many. Rows without an id are left out.
     """
-    classes = prints.select("fingerprint").filter("fingerprint is not null").distinct()
-    rng = np.random.default_rng(17)
-    samples = np.stack([rng.choice(PLACES, width, replace=False) for _ in range(bands)])
-    reached = classes.mapInArrow(lambda it: _band_keys(it, samples), "fingerprint string, key long")
-    sizes = reached.groupBy("key").agg(F.expr(f"cast(ceil(count(*) / {BAND_BLOCK}) as int)").alias("blocks"), F.count("*").alias("n")).filter("n > 1").select("key", "blocks")
-    rows = reached.join(sizes, "key").withColumn("block", F.expr("cast(pmod(xxhash64(fingerprint, key), blocks) as int)"))
-    met = F.expr("transform(sequence(0, blocks - 1), x -> struct(least(x, block) as i, greatest(x, block) as j))")
-    dealt = rows.select("key", "fingerprint", "block", F.explode(met).alias("c")).select("key", "c.i", "c.j", "fingerprint", "block").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.mapInArrow(lambda it: _alike(it, least), "a string, b string, likeness double").distinct()
+    spark = prints.sparkSession
+    work = Workspace(spark, "fingerprint-classes")
+    digest = F.unhex(F.md5(F.col("fingerprint").cast("binary")))
+    marks = work.table(prints.filter("doc_id is not null and fingerprint is not null").select(F.col("doc_id").cast("long").alias("doc_id"), digest.alias("digest"), packed(F.col("fingerprint")).alias("signature")), "marks")
+    reps = work.table(marks.groupBy("digest").agg(F.min(F.struct("doc_id", "signature")).alias("x"), F.count("*").alias("n")).select("digest", F.col("x.doc_id").alias("rep"), "x.signature", "n"), "reps")
+    width, bands = bands_for(reps.count(), least, miss)
+    rng, enough = np.random.default_rng(17), digits_for(least)
+    samples = np.stack([rng.choice(PLACES, min(width, PLACES), replace=False) for _ in range(bands)])
+
+    reached = reps.select("rep", "signature").mapInArrow(lambda it: _band_keys(it, samples, ("rep",)), "key long, rep long")
+    stars = near_dup.star_pairs(reps, reached, enough, work, unpacked).select("a", "b")
+    known = work.table(near_dup.with_component(reps.select("rep", "signature", F.lit(1).cast("long").alias("w")), near_dup.connected(spark, stars, work, "one")), "known")
+    kind = "key long, rep long, w long, component long"
+    rows = near_dup.opened(known.mapInArrow(lambda it: _band_keys(it, samples, ("rep", "w", "component")), kind), work, "open")
+    cells = near_dup.in_cells(rows, known.select("rep", F.col("signature").alias("s")), work)
+    rest = work.table(cells.mapInArrow(lambda it: textkit.released(near_dup.compared(it, enough, 0, unpacked, True)), "a long, b long").distinct(), "rest")
+    classes = near_dup.connected(spark, stars.union(rest), work, "two")
+    shared = reps.select("digest", "rep", "n").join(classes.withColumnRenamed("id", "rep"), "rep", "left").filter("component is not null or n > 1").select("digest", F.coalesce("component", "rep").alias("class_id"))
+    out = work.table(marks.select("doc_id", "digest").join(shared, "digest").groupBy("doc_id").agg(F.min("class_id").alias("class_id")), "classes")
+    work.drop("marks", "reps", "stars", "known", "open", "open-keys", "nodes", "rest")
+    return out
 
 
 def _edited(text: str, following: str) -> str:
@@ -220,59 +242,83 @@ def _edited(text: str, following: str) -> str:
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in descending order within a range, each range ended by a borrowed row, to results of all rows but the borrowed."""
+    """Rows in descending order within a range, each range ended by a borrowed row, to results of all rows but the borrowed.
+
+    A row with a class stands before the documents of its id.
+    """
     held: tuple | None = None  # the last row seen, whose next one isn't known yet
+    classed = (None, None)
     todo: list[tuple] = []
     chars = 0
 
     def flush() -> pa.RecordBatch:
-        mine, edited = fingerprints([t for _, t, _, _ in todo]), fingerprints([_edited(t, n) for _, t, n, _ in todo])
+        mine, edited = fingerprints([t for _, t, *_ in todo]), fingerprints([_edited(t, n) for _, t, n, _ in todo])
         follow = fingerprints([n if i + 1 == len(todo) or todo[i + 1][1] is not n else "" for i, (_, _, n, _) in enumerate(todo)])
         rows = []
-        for i, (doc_id, text, nxt, _) in enumerate(todo):
+        for i, (doc_id, text, nxt, class_id) in enumerate(todo):
             after = mine[i + 1] if i + 1 < len(todo) and todo[i + 1][1] is nxt else follow[i]
             digest = hashlib.sha256(_edited(text, nxt).encode("utf-8", "surrogatepass")).hexdigest()
-            rows.append((doc_id, len(text), digest, mine[i], edited[i], likeness(mine[i], edited[i]), likeness(mine[i], after)))
+            rows.append((doc_id, len(text), digest, mine[i], edited[i], likeness(mine[i], edited[i]), likeness(mine[i], after), doc_id if class_id is None else class_id))
         todo.clear()
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64()]
+        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "class_id"])
 
     for batch in batches:
-        for area, borrowed, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("area", "borrowed", "doc_id", "text")), strict=True):
+        for area, borrowed, doc_id, class_id, text in zip(*(batch.column(c).to_pylist() for c in ("area", "borrowed", "doc_id", "class_id", "text")), strict=True):
+            if class_id is not None:
+                classed = (doc_id, class_id)
+                continue
             text = text or ""
             if held is not None and held[0] == area:
-                todo.append((held[1], held[2], text, None))
+                todo.append((held[1], held[2], text, held[3]))
                 chars += len(held[2])
                 if chars > SLICE_CHARS:
                     yield flush()
                     chars = 0
-            held = None if borrowed else (area, doc_id, text)
+            held = None if borrowed else (area, doc_id, text, classed[1] if classed[0] == doc_id else None)
     if todo:
         yield flush()
 
 
-def compare_with_edits(docs: DataFrame) -> DataFrame:
-    """Fingerprints of each document, of its text with the last half replaced by the start of the next document's (descending id; after the last the first), and their likeness.
+def _area(cuts: list[int], value: str) -> Column:
+    """The number of cuts below the value, with a minus: found in two steps, each over about the root of their number."""
+    if not cuts:
+        return F.lit(0)
+    step = math.isqrt(len(cuts)) + 1
+    numbers = lambda x: "array(" + ",".join(f"{c}L" if c > NO_ID else f"bigint('{c}')" for c in x) + ")"
+    groups = ",".join(numbers(cuts[i : i + step]) for i in range(0, len(cuts), step))
+    before = f"size(filter({numbers(cuts[step - 1 :: step])}, c -> c < {value}))"
+    return F.expr(f"cast(-({before} * {step} + coalesce(size(filter(get(array({groups}), {before}), c -> c < {value})), 0)) as int)")
+
+
+def compare_with_edits(docs: DataFrame, least: float = 0.9) -> DataFrame:
+    """Fingerprints of each document, of its text with the last half replaced by the start of the next document's (descending id; after the last the first),
+    their likeness, and the class of documents alike by ``least`` that it belongs to (its smallest id; its own id if it is alone).
 
     Ids are ranged by approximate quantiles, and each range borrows the first row of the next one, so no order over all rows is ever made in one task.
-    Rows of one id stay in one range, in the order of their texts; an id of null comes last.
+    Rows of one id stay in one range, in the order of their texts, and share the smallest class that any of them reaches; an id of null comes last and has no class.
     """
     spark = docs.sparkSession
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), "text")
-    n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10_000).alias("c")).first()["c"] or []
-    cuts = sorted({int(c) for c in cuts})  # fewer than ``n`` numbers
-    area = F.expr(f"cast(-size(filter(array({','.join(f'{c}L' if c > -(1 << 63) else 'bigint(-9223372036854775808)' for c in cuts)}), c -> c < doc_id)) as int)") if cuts else F.lit(0)
+    classes = near_classes(fingerprint_documents(docs), least)
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
+    # ranges of AREA_BYTES on average, but MOST_AREAS at most: a range is a stream, which memory needn't hold
+    size = docs.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = min(MOST_AREAS, max(parts, size // AREA_BYTES))
+    cuts = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 10_000).alias("c")).first()["c"] or []
+    area = _area(sorted({int(c) for c in cuts}), "doc_id")
     # descending: a higher id has the lower area
-    areas = docs.select("doc_id", area.alias("area")).groupBy("area").agg(F.max("doc_id").alias("head")).orderBy("area").collect()
+    areas = docs.select("doc_id", area.alias("area")).groupBy("area").agg(F.max("doc_id").alias("head")).orderBy("area").collect()  # fewer than ``n`` rows
     heads = [(r["head"], areas[i - 1]["area"]) for i, r in enumerate(areas)]  # the highest id goes to the last
-    if not heads:
-        heads = [(0, 0)]
-    firsts = spark.createDataFrame(heads, "head long, to_area int")
-    own = docs.select(area.alias("area"), F.lit(False).alias("borrowed"), "doc_id", "text")
+    firsts = spark.createDataFrame(heads or [(0, 0)], "head long, to_area int")
+    none = F.lit(None).cast("long").alias("class_id")
+    own = docs.select(area.alias("area"), F.lit(False).alias("borrowed"), "doc_id", none, "text")
+    of_class = classes.select("doc_id", area.alias("area"), "class_id").select("area", F.lit(False), "doc_id", "class_id", F.lit(None).cast("string"))
     # of the rows with the head's id the one that sorts first is lent
     lent = docs.join(F.broadcast(firsts), F.col("doc_id") == F.col("head")).groupBy("to_area", "doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
-    rows = own.union(lent.select("to_area", F.lit(True), "doc_id", "text")).repartition("area").sortWithinPartitions("area", "borrowed", F.desc("doc_id"), F.coalesce("text", F.lit("")))
-    out = rows.mapInArrow(_compare, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-    return out.withColumn("doc_id", F.expr("nullif(doc_id, bigint(-9223372036854775808))").cast(id_type))
+    rows = own.union(of_class).union(lent.select("to_area", F.lit(True), "doc_id", none, "text"))
+    rows = (rows.repartition("area") if n == parts else rows.repartition(n, "area")).sortWithinPartitions("area", "borrowed", F.desc("doc_id"), F.col("class_id").isNull(), F.coalesce("text", F.lit("")))
+    out = rows.mapInArrow(lambda it: textkit.released(_compare(it)), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, class_id long")
+    given = F.col("doc_id") > F.lit(NO_ID)
+    return out.withColumns({"doc_id": F.when(given, F.col("doc_id")).cast(id_type), "class_id": F.when(given, F.col("class_id")).cast(id_type)})
