@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit
-from .tokens import encoder
+from .tokens import encoded, encoder
 from .workspace import Workspace
 
 SIZE = 1024
@@ -40,8 +40,8 @@ def _pieces(batches: Iterator[pa.RecordBatch], vocabulary: str, cut: str, end_id
     """Pieces with the partition they were cut in and their rank among its pieces of the same length."""
     encode, part = encoder(vocabulary, cut).many, TaskContext.get().partitionId()
     seen = np.zeros(size + 1, np.int64)
-    for portion in (p for batch in batches for p in textkit.portions(batch)):
-        tokens = [np.append(ids, np.uint32(end_id)).astype("<u4") for ids in encode(portion.column("text"))]
+    for portion, found in encoded(batches, encode):
+        tokens = [np.append(ids, np.uint32(end_id)).astype("<u4") for ids in found]
         count = np.array([len(t) for t in tokens], np.int64)
         many = -(-count // size)
         row = np.repeat(np.arange(len(count)), many)

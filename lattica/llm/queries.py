@@ -25,8 +25,8 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = Workspace(spark, "token-blocks").path("files")
-    shards = token_blocks.write_token_blocks(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), "words", 1)
-    return token_blocks.read_token_blocks(spark, folder, shards, with_ids=False)
+    token_blocks.write_token_blocks(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), "words", 1)
+    return token_blocks.read_token_blocks(spark, folder, with_ids=False)
 
 
 def op3_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,14 +33,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(32))
 
 
+def give_back() -> None:
+    """What was allocated and is free again goes back to the system, as workers stay for later tasks."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Passes a task's batches on; what it allocated goes back to the system when it ends, as workers stay for later tasks."""
+    """Passes a task's batches on and gives its memory back when it ends."""
     try:
         yield from batches
     finally:
-        pa.default_memory_pool().release_unused()
-        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-            trim(0)
+        give_back()
 
 
 def portions(batch: pa.RecordBatch, max_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

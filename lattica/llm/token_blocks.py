@@ -14,8 +14,9 @@ its partition, so names in order hold ids in order. A file is written under a
 temporary name and then moved, with the same content on every attempt.
 
 Defined results: null or empty text is only the end id; a null id sorts first;
-repeated rows are written as often as they come, in any order among equals;
-other columns are ignored; an empty table gives no file.
+repeated rows and ids are written as often as they come, in any order among equals;
+texts of any length are read whole and never split between files; other columns are ignored,
+whatever they are called; an empty table gives no file and no rows.
 """
 
 from __future__ import annotations
@@ -31,12 +32,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tokens import encoder
+from . import textkit
+from .tokens import encoded, encoder
 
 BLOCK, PERCENTILE = 256, 0.9
 #: Ids of a shard, but that the last document is never split.
 SHARD_IDS = 2 << 20
 NULL_ID = -(1 << 63)
+#: Tables beside the files: what each task wrote, and where each shard starts.
+WRITTEN, SHARDS = "_written", "_shards"
 HEAD = np.dtype([("base", "<u4"), ("width", "u1"), ("exceptions", "<u4")])
 _GROUP = 1024
 
@@ -152,8 +156,8 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, vocabulary: str, cut:
         number, doc_ids, ids, total = number + 1, [], [], 0
         return row
 
-    for batch in batches:
-        for doc_id, got in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text")), strict=True):
+    for portion, found in encoded(batches, encode):
+        for doc_id, got in zip(portion.column("doc_id").to_pylist(), found, strict=True):
             got = np.append(got, np.uint32(end_id))
             doc_ids.append(NULL_ID if doc_id is None else doc_id)
             ids.append(got)
@@ -165,18 +169,25 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, vocabulary: str, cut:
 
 
 def write_token_blocks(docs: DataFrame, folder: str, vocabulary: str, cut: str, end_id: int) -> DataFrame:
-    """Writes (doc_id, text) to ``folder``, in ascending doc_id; returns the shards in order: shard, n_docs, n_ids, start.
+    """Writes (doc_id, text) to ``folder``, in ascending doc_id; returns the shards: shard, n_docs, n_ids, start (ids of all shards before it).
 
-    ``folder`` is a URI that executors can write; the shards' list (one row for each 2 million ids) passes through the driver.
+    ``folder`` is a URI that executors can write. The list of shards is a table in it (one row for each 2 million ids) and never passes
+    the driver: starts are sums within each partition and over the partitions' totals.
     """
     spark = docs.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(parts, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"))
-    rows = ordered.mapInArrow(lambda it: _write(it, folder, vocabulary, cut, end_id), "shard string, n_docs long, n_ids long").toPandas().sort_values("shard")
-    rows["start"] = rows["n_ids"].cumsum() - rows["n_ids"]
-    return spark.createDataFrame(rows, "shard string, n_docs long, n_ids long, start long")
+    written = ordered.mapInArrow(lambda it: textkit.released(_write(it, folder, vocabulary, cut, end_id)), "shard string, n_docs long, n_ids long")
+    written.write.mode("overwrite").parquet(f"{folder}/{WRITTEN}")
+    rows = spark.read.schema(written.schema).parquet(f"{folder}/{WRITTEN}").withColumn("part", F.substring("shard", 1, 6))
+    before = F.expr("sum(n_ids) over (order by part rows between unbounded preceding and current row) - n_ids").alias("before")
+    totals = rows.groupBy("part").agg(F.sum("n_ids").alias("n_ids")).select("part", before)  # a row for each of ``parts``
+    within = F.expr("sum(n_ids) over (partition by part order by shard rows between unbounded preceding and current row) - n_ids")
+    starts = rows.withColumn("within", within).join(totals, "part").select("shard", "n_docs", "n_ids", (F.col("before") + F.col("within")).alias("start"))
+    starts.write.mode("overwrite").parquet(f"{folder}/{SHARDS}")
+    return spark.read.schema(starts.schema).parquet(f"{folder}/{SHARDS}")
 
 
 def _read(batches: Iterator[pa.RecordBatch], with_ids: bool) -> Iterator[pa.RecordBatch]:
@@ -199,9 +210,10 @@ def _read(batches: Iterator[pa.RecordBatch], with_ids: bool) -> Iterator[pa.Reco
             yield pa.record_batch(columns, names)
 
 
-def read_token_blocks(spark: SparkSession, folder: str, shards: DataFrame, with_ids: bool = True) -> DataFrame:
-    """One row per document of the files: doc_id, start, n_tokens, ids_crc32 and, if asked for, ids. ``shards`` is what the writer returned."""
+def read_token_blocks(spark: SparkSession, folder: str, with_ids: bool = True) -> DataFrame:
+    """One row per document of the files: doc_id, start, n_tokens, ids_crc32 and, if asked for, ids."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pfb").schema("path string, modificationTime timestamp, length long, content binary").load(folder)
+    shards = spark.read.schema("shard string, n_docs long, n_ids long, start long").parquet(f"{folder}/{SHARDS}")
     kind = "shard string, doc_id long, in_shard long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
-    rows = files.select("path", "content").mapInArrow(lambda it: _read(it, with_ids), kind)
-    return rows.join(F.broadcast(shards.select("shard", F.col("start").alias("before"))), "shard").select("doc_id", (F.col("before") + F.col("in_shard")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
+    rows = files.select("path", "content").mapInArrow(lambda it: textkit.released(_read(it, with_ids)), kind)
+    return rows.join(shards.select("shard", F.col("start").alias("before")), "shard").select("doc_id", (F.col("before") + F.col("in_shard")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)

@@ -13,11 +13,16 @@ import functools
 import os
 import re
 from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from . import textkit
+
+#: Bytes of text that are split and told apart at once.
+PORTION_BYTES = 8 << 20
 #: What Python's objects and dictionary take for a chunk, and for a pre-token, beside their bytes.
 _CHUNK_BYTES, _PIECE_BYTES = 150, 200
 #: Letters and digits up to U+00FF as the vocabularies' patterns class them.
@@ -39,7 +44,7 @@ _CUT = re.compile(rb" (?=[^\x00-\x20\xc2\xe1-\xe3])")
 class Encoder:
     """cut: "words" for vocabularies that drop white space, "spaces" for byte-level ones that join a space to the next word, "whole" for any other."""
 
-    def __init__(self, path: str, cut: str, keep_bytes: int = 64 << 20):
+    def __init__(self, path: str, cut: str, keep_bytes: int = 128 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -157,6 +162,14 @@ class Encoder:
         return [ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
+def encoded(batches: Iterator[pa.RecordBatch], encode: Callable[[pa.Array], list[np.ndarray]]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """The batches in portions with the ids of their texts (``many`` of an encoder). Larger portions share more chunks; memory is given back after each batch."""
+    for batch in batches:
+        for portion in textkit.portions(batch, PORTION_BYTES):
+            yield portion, encode(portion.column("text"))
+        textkit.give_back()
+
+
 @functools.lru_cache(maxsize=4)
 def encoder(path: str, cut: str) -> Encoder:
     """One per worker process."""
