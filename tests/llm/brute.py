@@ -111,3 +111,101 @@ def packed_well(pieces, size):
             return False
         at[s] += n
     return all(v <= size for v in at.values())
+
+
+def _mix(x):
+    """The library's scrambling of a 64-bit number."""
+    m = (1 << 64) - 1
+    for factor in (0xD6E8FEB86659FD93, 0xD6E8FEB86659FD93, 1):
+        x ^= x >> 32
+        x = x * factor & m
+    return x
+
+
+def _context(chars, x=0):
+    for c in chars:
+        x = (x ^ c) * 0x9FB21C651E98DF25 % (1 << 64)
+        x ^= x >> 28
+    return x
+
+
+def fingerprint(text, block, cut, times, places, context):
+    """The walk and its samples, character by character."""
+    import math
+
+    import numpy as np
+
+    if not text:
+        return "0" * places
+    codes = [ord(c) for c in text]
+    leaves = np.random.default_rng(11).random((256, times)) < 0.5
+    seen = [_context(codes[i : i + context], 0 if i + context <= len(codes) else len(codes) - i) for i in range(len(codes))]
+    starts = [0]
+    for i in range(1, len(codes)):
+        if (_mix(seen[i]) >> 20) % cut == 0 or i - starts[-1] == block:
+            starts.append(i)
+    walks = []
+    for a, b in zip(starts, [*starts[1:], len(codes)]):
+        t, left = 0, []
+        for i in range(a, b):
+            row = leaves[_mix(codes[i]) & 255]
+            while t < times - 1 and not row[t]:
+                t += 1
+            t = min(t + 1, times - 1)
+            left.append(t)
+        walks.append(left)
+    rng, out = np.random.default_rng(13), ""
+    for k in range(places):
+        draw, records = np.random.default_rng(int(rng.integers(1 << 62))), [0]
+        while records[-1] <= times:
+            records.append(int((records[-1] + 1) / max(draw.random(), 1e-12)))
+        wait = [-math.log1p(-((_mix(seen[a] ^ (k + 1) * 0xA24BAED4963EE407 % (1 << 64)) >> 11) / (1 << 53))) / len(w) for a, w in zip(starts, walks)]
+        n = wait.index(min(wait))
+        took = max(walks[n][-1], 1)
+        time = max(r for r in records if r < took)
+        step = min(sum(t <= time for t in walks[n]), len(walks[n]) - 1)
+        out += "0123456789abcdef"[_mix(seen[starts[n] + step] ^ k * 0xD1342543DE82EF95 % (1 << 64)) & 15]
+    return out
+
+
+def random_spans(text, run, alphabets, share, reject, false):
+    """Spans that the battery finds in a text; base spans are those of SECRETS. ``share``: a character's share in ordinary text, by the alphabet's size."""
+    import math
+
+    def tail(z):
+        return 0.5 * math.erfc(z / math.sqrt(2))
+
+    base = [(a, b) for a, _, _, b in spans_of(text, SECRETS)]
+    runs = [(m.start(), m.end(), m[0].rstrip("=")) for m in re.finditer(run, text) if not any(a < m.end() and m.start() < b for a, b in base)]
+    judged = []
+    for start, end, body in runs:
+        alphabet = next(a for fit, a in alphabets if re.fullmatch(fit, body))
+        n, size = len(body), len(alphabet)
+        codes = [alphabet.find(c) + 1 for c in body]
+        chi = sum(c * c for c in Counter(body).values()) * size / n - n
+        v = 2 / (9 * (size - 1))
+        z_chi = (chi / (size - 1)) ** (1 / 3) - (1 - v) if chi >= 0 else -math.inf
+        z_chi /= math.sqrt(v)
+        high = [c > size / 2 for c in codes]
+        h = sum(high)
+        mean = 2 * h * (n - h) / n + 1
+        turns = 1 + sum(x != y for x, y in zip(high, high[1:]))
+        z_runs = 9 if h in (0, n) else (turns - mean) / math.sqrt(max((mean - 1) * (mean - 2) / (n - 1), 1e-9))
+        middle = sum(codes) / n
+        spread = sum((c - middle) ** 2 for c in codes)
+        z_serial = 9 if spread <= 1e-9 else (sum((x - middle) * (y - middle) for x, y in zip(codes, codes[1:])) / spread + 1 / n) * math.sqrt(n)
+        p = min(1, 3 * min(tail(z_chi), 2 * tail(abs(z_runs)), 2 * tail(abs(z_serial))))
+        folded = body if re.search("[a-z]", body) and re.search("[A-Z]", body) else low(body)
+        ratio = sum(-math.log(size * share(c, size)) for c in folded)
+        judged.append((p, math.exp(-max(ratio, 0)), n, start, end))
+    if not judged:
+        return []
+    mean = sum(x[2] for x in judged) / len(judged)
+    ranked = sorted((q * mean / n, a, b) for p, q, n, a, b in judged if p >= reject)
+    last = max([0, *(i + 1 for i, x in enumerate(ranked) if x[0] <= false * (i + 1) / len(judged))])
+    return sorted((a, b) for _, a, b in ranked[:last])
+
+
+def mod97(s):
+    t = "".join(c for c in s if c.isalnum())
+    return int("".join(str(int(c, 36)) for c in t[4:] + t[:4])) % 97 == 1

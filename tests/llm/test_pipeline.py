@@ -56,3 +56,19 @@ def test_empty_tables(spark, tmp_path):
     for name, schema in (("documents", SCHEMA), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
         spark.createDataFrame([], schema).write.parquet(f"file://{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, f"file://{tmp_path}").count() == 0
+
+
+def test_stages_keep_clean_rows_of_repeated_and_null_ids(spark, folder):
+    """Only the row that a stage rejects goes, whatever shares its id; near copies go by their document."""
+    passage = " ".join(f"bench{k}" for k in range(30))
+    rows = [(900, f"an odd and clean text of its own {k}", "en", "s", 30) for k in range(2)] + [(900, passage, "en", "s", 9), (None, "another clean text", "en", "s", 9), (None, passage, "en", "s", 9), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    stages = dict(corpus_pipeline.STAGES)
+    left = stages["benchmark decontamination"](spark, docs, folder).collect()
+    assert sorted(map(str, left)) == sorted(str(r) for r in docs.collect() if r["text"] != passage)
+    near = stages["near duplicates"](spark, docs, folder).collect()
+    assert sum(r["doc_id"] is None for r in near) == 3
+    hidden = stages["personal data"](spark, docs, folder)
+    assert hidden.count() == len(rows) and hidden.columns == docs.columns
+    assert stages["quality classifier"](spark, docs, folder).columns == docs.columns
+    assert stages["packing"](spark, docs, folder).count() == len(rows)
