@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from . import textkit
 
 #: Bytes of text that are split and told apart at once.
-PORTION_BYTES = 8 << 20
+PORTION_BYTES = 4 << 20
 #: What Python's objects and dictionary take for a chunk, and for a pre-token, beside their bytes.
 _CHUNK_BYTES, _PIECE_BYTES = 150, 200
 #: Letters and digits up to U+00FF as the vocabularies' patterns class them.
@@ -44,7 +44,7 @@ _CUT = re.compile(rb" (?=[^\x00-\x20\xc2\xe1-\xe3])")
 class Encoder:
     """cut: "words" for vocabularies that drop white space, "spaces" for byte-level ones that join a space to the next word, "whole" for any other."""
 
-    def __init__(self, path: str, cut: str, keep_bytes: int = 128 << 20):
+    def __init__(self, path: str, cut: str, keep_bytes: int = 64 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
