@@ -144,6 +144,18 @@ def test_blocks_round_trip(ids):
         token_blocks.Shard(b"nope" + bytes(60))
 
 
+@pytest.mark.parametrize(("path", "cut"), [(WORD, "words"), (BYTE, "spaces")])
+def test_new_chunks_are_cut_in_few_passes(path, cut):
+    """A portion's new chunks are not split one by one, which takes most of the time where words are rarely met again."""
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choice("abéßÄ,.'1\n") for _ in range(8)) for _ in range(300)).replace("\n ", " ") for _ in range(10)]
+    library, own, passes = Tokenizer.from_file(path), tokens.Encoder(path, cut), []
+    find = own.find
+    own.find = lambda text: passes.append(text) or find(text)
+    assert [x.tolist() for x in own.many(pa.array(texts))] == [library.encode(x, add_special_tokens=False).ids for x in texts]
+    assert len(passes) < 100
+
+
 def test_token_blocks(docs, rows, spark, tmp_path, empty, monkeypatch):
     monkeypatch.setattr(token_blocks, "SHARD_IDS", 3000)  # several shards in a partition
     shards = token_blocks.write_token_blocks(docs, f"file://{tmp_path}/a", WORD, "words", 1)
