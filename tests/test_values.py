@@ -3,6 +3,7 @@ from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from lattica.functions import dynamic, jsontext
 from lattica.functions.method_id import method_id
@@ -63,6 +64,20 @@ def test_reads(people):
         V.get("$.name.x")
 
 
+def test_tree_makes_only_what_is_asked_for(spark):
+    """Fields after lists keep their numbers, and texts that nobody reads are never made: one of a NaN would raise."""
+    line = T.Struct("L", (T.Field("x", S("float64")), T.Field("names", T.Array(S("string")))))
+    t = T.Message("M", (T.Field("lines", T.Array(line), 1), T.Field("more", T.Map(S("string"), S("int32")), 2), T.Field("last", S("string"), 3)))
+    value = {"lines": [{"x": float("nan"), "names": ["a", None]}, None, {"x": 1.0, "names": []}], "more": {"k": 7}, "last": "z"}
+    rows = children.tree(spark.createDataFrame([(value,)], StructType([StructField("v", T.to_spark(t))])), Typed(F.col("v"), t)).select("id", "parent", "fullkey", "path").collect()
+    names = '"x"', '"names"'
+    want = [(0, None, "$", "$"), (1, 0, '$."lines"', "$"), (2, 1, '$."lines"[0]', '$."lines"')]
+    want += [(3 + i, 2, f'$."lines"[0].{n}', '$."lines"[0]') for i, n in enumerate(names)] + [(5, 4, '$."lines"[0]."names"[0]', '$."lines"[0]."names"')]
+    want += [(6, 1, '$."lines"[2]', '$."lines"')] + [(7 + i, 6, f'$."lines"[2].{n}', '$."lines"[2]') for i, n in enumerate(names)]
+    want += [(9, 0, '$."more"', "$"), (10, 9, '$."more"."k"', '$."more"'), (11, 0, '$."last"', "$")]
+    assert sorted(map(tuple, rows)) == want
+
+
 def test_changes(people):
     assert column(people, V.set("$.name", "Z").extract("$.name")) == ["Z", "Z", None, "Z"]
     assert column(people, V.insert("$.name", "Z").extract("$.name")) == ["Ann", "Z", None, ""]
