@@ -1,8 +1,10 @@
 import math
 from decimal import Decimal
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructField, StructType
 
 from lattica.functions import dynamic, jsontext
@@ -78,6 +80,30 @@ def test_tree_makes_only_what_is_asked_for(spark):
     assert sorted(map(tuple, rows)) == want
 
 
+def test_batches_of_wire_bytes_are_read_and_written_at_once(monkeypatch):
+    """Whole batches give the bytes, values and odd rows of the codec by rows, which right rows no longer need."""
+    item = T.Message("K", (T.Field("a", S("byte"), 1), T.Field("t", T.Array(S("string")), 2)))
+    t = T.Message("D", (T.Field("v", S("int32"), 1), T.Field("u", S("uint16"), 3), T.Field("k", T.Array(item), 4), T.Field("n", T.Array(T.Struct("P", (T.Field("x", S("int64")), T.Field("y", S("float64"))))), 9)))
+    arrow = to_arrow_type(T.to_spark(t))
+    item_of = lambda i: {"a": i % 256 if i % 3 else None, "t": ["é" * (i % 5), "b"][: i % 3]}
+    values = [None if i % 11 == 0 else {"v": i if i % 2 else None, "u": i, "k": [item_of(i + j) for j in range(i % 4)] if i % 5 else None, "n": [{"x": -i, "y": 0.5}] * (i % 70)} for i in range(300)]
+    wires = [None if v is None else wire.encode(t, v) for v in values]
+    cut = [w and w[: len(w) - i % 3] for i, w in enumerate(wires)]
+    want = []
+    for w in cut:
+        try:
+            want.append(w and wire.decode(t, w))
+        except wire.WireError:
+            want.append(None)
+    monkeypatch.setattr(wire, "encode", None)
+    monkeypatch.setattr(wire, "decode", None)
+    assert wire._encoded(t, pa.array(values, arrow)).to_pylist() == wires
+    made, ok = wire._decoded(t, arrow, pa.array(cut, pa.binary()))
+    assert ok.tolist() == [w is not None for w in want]
+    assert made.filter(pa.array(ok)).to_pylist() == [w for w in want if w is not None]
+    assert wire._encoded(t, pa.array([{"u": -1}], arrow)) is None
+
+
 def test_changes(people):
     assert column(people, V.set("$.name", "Z").extract("$.name")) == ["Z", "Z", None, "Z"]
     assert column(people, V.insert("$.name", "Z").extract("$.name")) == ["Ann", "Z", None, ""]
